@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.packing import op10_packing
 from tidemark.llm.sharding import op1_sharding
+from tidemark.llm.tokens import op5_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding}
+    return {
+        "op1_sharding": op1_sharding,
+        "op5_bpe": op5_bpe,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
