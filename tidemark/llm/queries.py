@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.language import op9_language_id
 from tidemark.llm.packing import op10_packing
 from tidemark.llm.quality_ordinal import op8_quality_ordinal
 from tidemark.llm.quality_rules import op3_quality_rules
 from tidemark.llm.sharding import op1_sharding
+from tidemark.llm.substring_dedup import op2_substring_dedup
 from tidemark.llm.tokens import op5_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op5_bpe": op5_bpe,
         "op8_quality_ordinal": op8_quality_ordinal,
+        "op9_language_id": op9_language_id,
         "op10_packing": op10_packing,
     }
 
