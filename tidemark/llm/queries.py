@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.language import op9_language_id
+from tidemark.llm.neardup import op7_near_dedup
 from tidemark.llm.packing import op10_packing
 from tidemark.llm.quality_ordinal import op8_quality_ordinal
 from tidemark.llm.quality_rules import op3_quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op5_bpe": op5_bpe,
+        "op7_near_dedup": op7_near_dedup,
         "op8_quality_ordinal": op8_quality_ordinal,
         "op9_language_id": op9_language_id,
         "op10_packing": op10_packing,
