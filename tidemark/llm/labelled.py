@@ -22,7 +22,7 @@ WORD_DIM, CHAR_DIM = 1 << 18, 1 << 14
 #: Items of weight 0 that a mean of weights is smoothed with.
 PRIOR_ITEMS = 40
 #: Labelled documents that a model is fitted on at most; those with the lowest hash of their doc_id.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 5000
 #: A word feature is learnt from if so many sampled texts have it.
 LEAST_TEXTS = 10
 #: Bytes of one sampled text that may reach the driver; a longer one is left out of the sample.
@@ -103,9 +103,9 @@ class Sample:
     def scaled(self) -> np.ndarray:
         """Bring features to a common scale, values of the texts that have one to a root mean square of 1; gives the factors."""
         have = np.bincount(self.col, minlength=self.dim)
-        square = np.bincount(self.col, weights=self.val**2, minlength=self.dim)
+        square = np.bincount(self.col, weights=self.val * self.val, minlength=self.dim)
         scale = np.sqrt(have / np.maximum(square, 1e-18))
-        self.val = self.val * scale[self.col]
+        self.val *= scale[self.col].astype(np.float32)
         self.mean = np.bincount(self.col, weights=self.val, minlength=self.dim) / max(1, self.n)
         return scale
 
@@ -137,22 +137,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return [x[1:] for x in sorted(found)]
 
 
-def sparse(texts: list[str]) -> Sample:
-    """The sample's feature means; word features of too few texts are left out."""
-    rows, cols, vals = [], [], []
+def _counted(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, feature, mean) of every chunk of texts."""
+    dim = np.int64(WORD_DIM + CHAR_DIM)
     for first, _, data, off in chunks(pa.array(texts, pa.string())):
         for (index, at), shift in zip(features(data, off), (0, WORD_DIM), strict=True):
-            key = (owners(at) + first) * np.int64(WORD_DIM + CHAR_DIM) + index + shift
-            key, count = np.unique(key, return_counts=True)
-            row = key // (WORD_DIM + CHAR_DIM)
-            rows.append(row)
-            cols.append(key % (WORD_DIM + CHAR_DIM))
-            vals.append(count / (np.diff(at) + PRIOR_ITEMS)[row - first])
-    row, col, val = (np.concatenate([np.zeros(0, kind), *part]) for part, kind in ((rows, np.int64), (cols, np.int64), (vals, np.float64)))
-    texts_with = np.bincount(col, minlength=WORD_DIM + CHAR_DIM)
-    keep = (texts_with[col] >= LEAST_TEXTS) | (col >= WORD_DIM)
-    used, col = np.unique(col[keep], return_inverse=True)
-    return Sample(row[keep], col, val[keep], len(texts), used)
+            key, count = np.unique(owners(at) * dim + index + shift, return_counts=True)
+            row = key // dim
+            yield (row + first).astype(np.int32), (key % dim).astype(np.int32), (count / (np.diff(at) + PRIOR_ITEMS)[row]).astype(np.float32)
+
+
+def sparse(texts: list[str]) -> Sample:
+    """The sample's feature means; word features of too few texts are left out, and never held."""
+    texts_with = np.zeros(WORD_DIM + CHAR_DIM, np.int64)
+    for _, col, _ in _counted(texts):
+        texts_with += np.bincount(col, minlength=len(texts_with))
+    keep = texts_with >= LEAST_TEXTS
+    keep[WORD_DIM:] = texts_with[WORD_DIM:] > 0
+    used = np.flatnonzero(keep)
+    number = np.cumsum(keep, dtype=np.int32) - 1
+    rows, cols, vals = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for row, col, val in _counted(texts):
+        at = keep[col]
+        rows.append(row[at])
+        cols.append(number[col[at]])
+        vals.append(val[at])
+    return Sample(np.concatenate(rows), np.concatenate(cols), np.concatenate(vals), len(texts), used)
 
 
 def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 80, memory: int = 8) -> np.ndarray:
