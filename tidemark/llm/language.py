@@ -78,9 +78,13 @@ class LanguageModel:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Dictionaries from documents outside fold 0 that have a language, a text and a doc_id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
-    # The rank filter is pushed below the shuffle, so a task sends ``sample_docs`` rows of a language at most.
-    ranked = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
+    keyed = known.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("key"))
+    sizes = keyed.groupBy("lang").agg(F.count("*").alias("size"))
+    # Of a language of many documents only those of a low hash, four times as many as are wanted, are put in order.
+    share = F.pmod("key", F.lit(1 << 40)) / float(1 << 40)
+    low = keyed.join(sizes, "lang").where(share < 4.0 * sample_docs / F.col("size"))
+    order = Window.partitionBy("lang").orderBy("key", "doc_id")
+    ranked = low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
     chosen = ranked.select("doc_id", "lang", "place")
     met = known.select("doc_id", "lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
     rows = met.groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text")).orderBy("lang", "place").toLocalIterator()
