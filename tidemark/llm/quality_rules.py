@@ -65,7 +65,9 @@ def measures(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     owner = owners(window_off)
     order = np.lexsort((window, owner))
     same = (window[order][1:] == window[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-    twice = np.append(same, False) | np.append(False, same)
+    twice = np.zeros(len(order), bool)
+    twice[:-1] |= same
+    twice[1:] |= same
     repeated = np.zeros(len(words), bool)
     for k in range(WINDOW):
         repeated[at[order[twice]] + k] = True
