@@ -24,7 +24,7 @@ from tidemark.llm.common import documents
 GRADES = 3
 #: Fixed threshold of P(grade >= 2).
 THRESHOLD = 0.4
-DECAY = 4e-3
+DECAY = 1e-3
 
 
 def grade(quality: int, toxic: int) -> int:
@@ -46,6 +46,21 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(f[:, None] - self.thresholds[None, :], -50, 50)))
 
 
+def telling(sample: labelled.Sample, level: np.ndarray, cut: int) -> np.ndarray:
+    """How much each feature's presence tells of any threshold: the largest log ratio of its shares above and below,
+    less two standard errors, and 0 if nothing is left. It scales the features, so that weight decay bears on those
+    that say little and a few telling words outweigh many common ones.
+    """
+    out = np.zeros(sample.dim)
+    for k in range(cut):
+        above = level > k
+        up = np.bincount(sample.col, weights=above[sample.row], minlength=sample.dim) + 0.5
+        down = np.bincount(sample.col, weights=~above[sample.row], minlength=sample.dim) + 0.5
+        ratio = np.abs(np.log(up / (above.sum() + 1)) - np.log(down / ((~above).sum() + 1)))
+        out = np.maximum(out, ratio - 2 * np.sqrt(1 / up + 1 / down))
+    return np.maximum(out, 0.0)
+
+
 def fit(found: list[tuple[str, int, int]]) -> OrdinalModel:
     grades = np.array([grade(q, t) for _, q, t in found], np.int64)
     have = np.unique(grades)
@@ -55,6 +70,10 @@ def fit(found: list[tuple[str, int, int]]) -> OrdinalModel:
     cut = len(have) - 1
     sample = labelled.sparse([text for text, _, _ in found])
     scale = sample.scaled()
+    told = telling(sample, level, cut)
+    sample.val *= told[sample.col].astype(np.float32)
+    sample.mean = sample.mean * told
+    scale = scale * told
     n = len(level)
 
     def thresholds(raw: np.ndarray) -> np.ndarray:
