@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from compare import duck, same_rows
 
 from tidemark.plans import catalogue
-from conftest import DATA
 
-SF = f"{DATA}/sf0.001"
+SF = os.environ.get("TEST_DATA", "/root/testdata") + "/sf0.001"
 SLOW = {"detect_scene"}
 
 
