@@ -22,8 +22,8 @@ from tidemark.llm import labelled
 from tidemark.llm.common import documents
 
 GRADES = 3
-#: Fixed threshold of P(grade >= 2).
-THRESHOLD = 0.4
+#: Fixed threshold of P(grade >= 2): what is clean with less than this probability goes.
+THRESHOLD = 0.1
 DECAY = 1e-3
 
 
