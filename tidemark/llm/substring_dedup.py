@@ -3,8 +3,11 @@
 Every run of ``SPAN`` consecutive sentences is hashed. Runs are grouped over the whole corpus; a run
 met more than once belongs to its first place (lowest doc_id, text and position), and sentences that
 any later occurrence covers are removed. A sentence of more than ``PIECE_WORDS`` words counts as
-several, cut from its start, so that long passages of few sentences are spans too; runs of fewer
-than ``LEAST_WORDS`` words are too little to mean anything and don't count.
+several, so that long passages of few sentences are spans too. It is cut before the last least word
+hash of every ``CUT_WINDOW`` of its words: the cuts of a passage are the same whatever stands before
+it, no piece is longer than the window, and of 51 words in one sentence at least three pieces lie whole
+within. A run with such pieces takes as many as it needs for ``PIECE_WORDS`` words; runs of fewer than
+``LEAST_WORDS`` words are too little to mean anything and don't count.
 
 Defined cases: a null text stays null, an empty one empty; texts of fewer sentences than a span keep
 all; a run repeated inside one text goes after its first place; rows that repeat a whole (doc_id,
@@ -21,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, small_batches, unused
-from tidemark.llm.textvec import RangeHash, Words, chunks, int64, owners, seeded, splitmix
+from tidemark.llm.common import documents, materialise, small_batches, unused
+from tidemark.llm.textvec import RangeHash, Words, chunks, int64, owners
 
 SPAN = 3
 PIECE_WORDS = 16
+CUT_WINDOW = 8
 LEAST_WORDS = 10
 
 _STOP = np.zeros(256, bool)
@@ -34,11 +38,25 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def _least(hashes: np.ndarray, head: np.ndarray, long: np.ndarray, window: int = CUT_WINDOW) -> np.ndarray:
+    """The last least hash of every window of words that lies in one long sentence; ``head`` is each word's sentence."""
+    n = len(hashes) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least, at = hashes[:n].copy(), np.arange(n)
+    for k in range(1, window):
+        lower = hashes[k : k + n] <= least
+        least[lower] = hashes[k : k + n][lower]
+        at[lower] = np.flatnonzero(lower) + k
+    return at[long[:n] & (head[:n] == head[window - 1 :])]
+
+
 class Sentences:
     """Sentence pieces of a chunk of texts: byte ranges that together cover every text, with hashes of their words.
 
     A sentence ends after a full stop, exclamation or question mark that white space follows, or after a
-    line end. A range holds all bytes up to the next one. ``words`` has each piece's number of words.
+    line end. A range holds all bytes up to the next one. ``words`` has each piece's number of words, ``cut``
+    whether its sentence was cut.
     """
 
     def __init__(self, data: np.ndarray, off: np.ndarray, piece_words: int = PIECE_WORDS):
@@ -52,9 +70,12 @@ class Sentences:
         new = np.ones(n, bool)
         new[1:] = (sentence[1:] != sentence[:-1]) | (owner[1:] != owner[:-1])
         head = np.flatnonzero(new)
-        place = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
-        first = np.flatnonzero(place % piece_words == 0)
+        many = np.diff(np.append(head, n))
+        long = np.repeat(many > piece_words, many)
+        new[_least(words.hashes, np.repeat(head, many), long)] = True
+        first = np.flatnonzero(new)
         last = np.append(first[1:], n)
+        self.cut = long[first]
         self.words = last - first
         self.hashes = RangeHash(words.hashes)(first, last)
         self.off = np.searchsorted(owner[first], np.arange(len(off)), "left").astype(np.int64)
@@ -65,19 +86,23 @@ class Sentences:
         self.starts[self.off[:-1][some]] = off[:-1][some]
         self.ends[self.off[1:][some] - 1] = off[1:][some]
 
+    def runs(self, size: int = SPAN, least_words: int = LEAST_WORDS, least_cut: int = PIECE_WORDS) -> np.ndarray:
+        """The end of the run that begins at each piece, 0 where none does."""
+        n = len(self.words)
+        total, cuts = np.append(0, np.cumsum(self.words)), np.append(0, np.cumsum(self.cut))
+        at, limit = np.arange(n), np.repeat(self.off[1:], np.diff(self.off))
+        end = at + size
+        some = cuts[np.minimum(end, n)] > cuts[at]
+        end = np.where(some, np.maximum(end, np.searchsorted(total, total[at] + least_cut, "left")), end)
+        inside = end <= limit
+        return np.where(inside & (total[np.minimum(end, n)] - total[at] >= least_words), end, 0)
+
     def spans(self, size: int = SPAN, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, text number, position in the text) of every run of ``size`` pieces."""
-        n = np.diff(self.off)
-        many = np.maximum(n - size + 1, 0)
-        off = np.append(0, np.cumsum(many))
-        at = np.repeat(self.off[:-1] - off[:-1], many) + np.arange(off[-1])
-        out, words = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
-        for k, factor in enumerate(seeded(size, 21)):
-            out += self.hashes[at + k] * (factor | np.uint64(1))
-            words += self.words[at + k]
-        keep = words >= least_words
-        owner = owners(off)
-        return splitmix(out)[keep], owner[keep], (at - self.off[owner])[keep]
+        """(hash, text number, position in the text) of every run of ``size`` pieces or, for its words, more."""
+        end = self.runs(size, least_words)
+        at = np.flatnonzero(end)
+        owner = owners(self.off)[at]
+        return RangeHash(self.hashes)(at, end[at]), owner, at - self.off[owner]
 
 
 def spans(docs: DataFrame, size: int = SPAN) -> DataFrame:
@@ -98,13 +123,11 @@ def spans(docs: DataFrame, size: int = SPAN) -> DataFrame:
 def covered(docs: DataFrame, size: int = SPAN) -> DataFrame:
     """doc, version and places: where non-first occurrences of repeated runs begin, for the documents that have any."""
     found = spans(docs, size)
-    repeated = (
-        found.groupBy("span")
-        .agg(F.count("*").alias("times"), F.min(F.struct("doc", "version", "place")).alias("first"))
-        .where("times > 1")
-        .select("span", "first")
-    )
-    later = found.join(repeated, "span").where(~F.struct("doc", "version", "place").eqNullSafe(F.col("first")))
+    # The first shuffle holds hashes only; places follow for the repeated ones.
+    repeated = found.groupBy("span").agg(F.count("*").alias("times")).where("times > 1").select("span")
+    met = materialise(found.join(repeated, "span"), "spans")
+    first = met.groupBy("span").agg(F.min(F.struct("doc", "version", "place")).alias("first"))
+    later = met.join(first, "span").where(~F.struct("doc", "version", "place").eqNullSafe(F.col("first")))
     # A document's places are no more than its sentences; rows that repeat a document bring the same ones.
     return later.groupBy("doc", "version").agg(F.collect_set("place").alias("places"))
 
@@ -116,13 +139,16 @@ def clean_column(texts: pa.Array, places: pa.Array, size: int = SPAN) -> tuple[l
     gone, null = places.to_pylist(), texts.is_null().to_pylist()
     for first, end, data, off in chunks(texts):
         s = Sentences(data, off)
+        ends = s.runs(size)
         for i in range(end - first):
             a, b = s.off[i], s.off[i + 1]
             drop = np.zeros(b - a, bool)
             if gone[first + i] is not None:
                 at = np.asarray(gone[first + i], np.int64)
-                for k in range(size):
-                    drop[at + k] = True
+                edge = np.zeros(b - a + 1, np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, ends[a + at] - a, -1)
+                drop = np.cumsum(edge)[:-1] > 0
             if null[first + i]:
                 clean.append(None)
             elif not drop.any():
