@@ -6,8 +6,8 @@ any later occurrence covers are removed. A sentence of more than ``PIECE_WORDS``
 several, so that long passages of few sentences are spans too. It is cut before the last least word
 hash of every ``CUT_WINDOW`` of its words: the cuts of a passage are the same whatever stands before
 it, no piece is longer than the window, and of 51 words in one sentence at least three pieces lie whole
-within. A run with such pieces takes as many as it needs for ``PIECE_WORDS`` words; runs of fewer than
-``LEAST_WORDS`` words are too little to mean anything and don't count.
+within. Runs of fewer than ``LEAST_WORDS`` words are too little to mean anything: a run takes as many
+sentences as it needs for them, and for ``PIECE_WORDS`` words if it has pieces of a cut one.
 
 Defined cases: a null text stays null, an empty one empty; texts of fewer sentences than a span keep
 all; a run repeated inside one text goes after its first place; rows that repeat a whole (doc_id,
@@ -91,11 +91,10 @@ class Sentences:
         n = len(self.words)
         total, cuts = np.append(0, np.cumsum(self.words)), np.append(0, np.cumsum(self.cut))
         at, limit = np.arange(n), np.repeat(self.off[1:], np.diff(self.off))
-        end = at + size
+        end = np.maximum(at + size, np.searchsorted(total, total[at] + least_words, "left"))
         some = cuts[np.minimum(end, n)] > cuts[at]
         end = np.where(some, np.maximum(end, np.searchsorted(total, total[at] + least_cut, "left")), end)
-        inside = end <= limit
-        return np.where(inside & (total[np.minimum(end, n)] - total[at] >= least_words), end, 0)
+        return np.where(end <= limit, end, 0)
 
     def spans(self, size: int = SPAN, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, text number, position in the text) of every run of ``size`` pieces or, for its words, more."""
