@@ -46,9 +46,9 @@ def assess_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
     buildings = s.select("id", F.array(corner(0, 0), corner(12, 0), corner(12, 9), corner(0, 9), corner(0, 0)).alias("ring"), (F.col("x0") + 6).alias("cx"), (F.col("y0") + 4.5).alias("cy"))
     points = s.select("id", F.col("x0").alias("px"), F.col("y0").alias("py"))
-    roads = q_vector.road_lines(spark, sf_dir).select("id", "part", F.transform("coords", lambda p: F.struct(p["x"].alias("x"), (p["y"] - 1000 + top).alias("y"))).alias("coords"))
-    bridges = roads.where("id % 10 = 0").select("id", F.slice("coords", 1, 2).alias("coords"))
-    return analysis.assess(classes, grid, buildings, roads, bridges, points.where("id % 5 = 0"), points)["stats"]
+    roads = q_vector.all_road_lines(spark, sf_dir).select("id", "part", F.transform("coords", lambda p: F.struct(p["x"].alias("x"), (p["y"] - 1000 + top).alias("y"))).alias("coords"))
+    bridges = roads.select("id", F.slice("coords", 1, 2).alias("coords"))
+    return analysis.assess(classes, grid, buildings, roads, bridges, points, points)["stats"]
 
 
 def access_scene(spark: SparkSession, sf_dir: str) -> DataFrame:

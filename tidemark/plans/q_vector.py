@@ -106,12 +106,17 @@ def polygon_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zonal.polygon_pixels(rings, GRID).groupBy("id").agg(F.count("*").alias("n_cells"))
 
 
-def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-vertex lines between places made of the orders' keys."""
+def all_road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-vertex lines between places made of the orders' keys, one for every order."""
     k = F.col("o_orderkey")
     at = lambda a, b: F.struct((k * a % 390 + 0.31).alias("x"), (1000.17 - k * b % 180).alias("y"))
     highway = F.get(F.array(*[F.lit(h) for h in ("primary", "track", "path", "mystery")]), (k % 4).cast("int"))
-    return table(spark, sf_dir, "orders").where("o_orderkey < 400").select(k.alias("id"), F.lit(0).alias("part"), highway.alias("highway"), F.array(at(7, 11), at(13, 17), at(19, 23)).alias("coords"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.lit(0).alias("part"), highway.alias("highway"), F.array(at(7, 11), at(13, 17), at(19, 23)).alias("coords"))
+
+
+def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of the lines that the SQL of the road queries takes."""
+    return all_road_lines(spark, sf_dir).where("id < 400")
 
 
 def road_status(spark: SparkSession, sf_dir: str) -> DataFrame:
