@@ -14,3 +14,9 @@ def test_assess_scene_takes_every_order_and_supplier(spark):
     stats = q_analysis.assess_scene(spark, SF).first()
     assert (stats["bridges_total"], stats["health_total"]) == (count("orders"), count("supplier"))
     assert stats["roads_affected_km"] > 25
+
+
+def test_access_scene_settles_every_customer(spark):
+    folder = SF.replace("sf0.001", "sf0.01")
+    want = {r["c_custkey"] for r in spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey").collect()}
+    assert {r["sid"] for r in q_analysis.access_scene(spark, folder).collect()} == want

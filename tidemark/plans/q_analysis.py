@@ -54,7 +54,7 @@ def assess_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 def access_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settlements' access over a lattice of roads, some of them cut."""
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part").where("p_partkey < 200")
+    part = table(spark, sf_dir, "part")
     x, y = (k % 20) * 100.0, F.floor(k / 20) * 100.0
     at = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).cast("double").alias("y"))
     ways = F.explode(F.array(F.struct(F.lit(0).alias("w"), F.array(at(0, 0), at(100, 0)).alias("coords")), F.struct(F.lit(1).alias("w"), F.array(at(0, 0), at(0, 100)).alias("coords"))))
@@ -63,7 +63,7 @@ def access_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     roads = roads.select("road", F.col("road").alias("osm_id"), highway.alias("highway"), F.when(F.col("road") % 19 == 0, "yes").alias("bridge"), F.lit(None).cast("string").alias("name"), "coords", "p_size")
     status = roads.select("osm_id", F.when(F.col("p_size") <= 20, "cut").when(F.col("p_size") <= 26, "near").otherwise("outside").alias("status"))
     risky = roads.where("bridge is not null").select("osm_id", F.lit("at risk").alias("status"))
-    c = table(spark, sf_dir, "customer").where("c_custkey < 150").select(F.col("c_custkey").alias("sid"), (F.col("c_custkey") * 131 % 2400 * 1.0).alias("px"), (F.col("c_custkey") * 77 % 1200 * 1.0).alias("py"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sid"), (F.col("c_custkey") * 131 % 2400 * 1.0).alias("px"), (F.col("c_custkey") * 77 % 1200 * 1.0).alias("py"))
     targets = c.where("sid in (3, 50, 90)").select(F.when(F.col("sid") == 50, "town").otherwise("hospital").alias("target"), F.col("sid").alias("tid"), "px", "py")
     return analysis.access(roads.drop("p_size"), status, risky, targets, c)["settlements"]
 
