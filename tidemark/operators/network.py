@@ -90,8 +90,8 @@ def shortest_times(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] =
         better = F.coalesce(F.col("offer") < F.coalesce("time", F.lit(float("inf"))), F.lit(False))
         known = materialise(met.select(*on, F.when(better, F.col("offer")).otherwise(F.col("time")).alias("time"), better.alias("fresh")), "times")
         if known.where("fresh").isEmpty():
-            break
-    return known.select(*on, "time")
+            return known.select(*on, "time")
+    raise RuntimeError(f"shortest times are not final after {most_rounds} rounds")
 
 
 def cut_roads(roads: DataFrame, road_status: DataFrame, bridge_status: DataFrame) -> DataFrame:
