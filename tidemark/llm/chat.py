@@ -6,13 +6,14 @@ that says the sentence in its own words. The message that most sentences of the
 from is the one replied to. Conversations are put in reply order, depth first, and formatted without the
 quotes, ``PART_MESSAGES`` messages a row.
 
-A place in a conversation is a row number inside a bucket of root messages plus the count of the
-buckets before, so a conversation that holds a large share of all rows doesn't meet in one task.
+A place in a conversation is the number of rows in the trees before, which are summed by buckets of turns,
+and in the own tree, which is walked by pointer doubling. So neither a conversation that holds a large share
+of all rows nor one long thread meets in one task; only rows that repeat one turn do.
 
 Defined cases: a null text is an empty message, a null role ``unknown``; without quotes the turns'
 order stands; a null conv_id or turn is never linked and sorts first; rows that repeat a turn are
-messages of their own with one parent, in order of role and text; sentences of fewer than
-``LEAST_CHARS`` characters link nothing; an empty table gives no rows; extra columns are not read.
+messages of their own with one parent, in order of role and text; of a quote with longer sentences,
+those of fewer than ``LEAST_CHARS`` characters link nothing; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -55,7 +56,13 @@ def sentences(text: Column) -> Column:
     flat = F.lower(F.regexp_replace(text, "[ \\t\\r\\n\\f]+", " "))
     parts = F.split(F.regexp_replace(flat, "([.!?]) ", "$1\n"), "\n")
     plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, "[^\\p{L}\\p{N} ]", ""), " +", " ")))
-    return F.array_distinct(F.filter(plain, lambda s: F.length(s) >= LEAST_CHARS))
+    return F.array_distinct(F.filter(plain, lambda s: F.length(s) > 0))
+
+
+def linking(quoted: Column) -> Column:
+    """What links a quote: its sentences of ``LEAST_CHARS`` characters at least, or all if it has none such."""
+    long = F.filter(quoted, lambda s: F.length(s) >= LEAST_CHARS)
+    return F.when(F.size(long) > 0, long).otherwise(quoted)
 
 
 def quoted_text(lines: Column, level: Column) -> Column:
@@ -79,7 +86,7 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     quoted = (
         parsed.where(F.exists("lines", lambda line: line["level"] > 0))
         .select("conv_id", "turn", "lines", F.explode(levels).alias("level"))
-        .select("conv_id", "turn", "level", F.explode(sentences(quoted_text(F.col("lines"), F.col("level")))).alias("sentence"))
+        .select("conv_id", "turn", "level", F.explode(linking(sentences(quoted_text(F.col("lines"), F.col("level"))))).alias("sentence"))
         .select("conv_id", "turn", "level", F.xxhash64("sentence").alias("passage"))
     )
     met = quoted.join(said, ["conv_id", "passage"]).where("parent < turn")
@@ -88,19 +95,61 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     return votes.groupBy("conv_id", "turn").agg(best.alias("parent"))
 
 
-def reply_paths(links: DataFrame) -> DataFrame:
-    """conv_id, turn, parent and path (the turns from the root to the message) of every linked message.
+def _siblings(links: DataFrame) -> DataFrame:
+    """conv_id, turn, parent and sibling (the next turn with that parent). A parent's replies meet in buckets of turns."""
+    bucketed = links.select("conv_id", "turn", "parent", F.floor(F.col("turn") / BUCKET_TURNS).alias("bucket"))
+    inside = Window.partitionBy("conv_id", "parent", "bucket").orderBy("turn")
+    starts = bucketed.groupBy("conv_id", "parent", "bucket").agg(F.min("turn").alias("start"))
+    after = starts.select("conv_id", "parent", "bucket", F.lead("start").over(Window.partitionBy("conv_id", "parent").orderBy("bucket")).alias("after"))
+    return (
+        bucketed.withColumn("sibling", F.lead("turn").over(inside))
+        .join(after, ["conv_id", "parent", "bucket"])
+        .select("conv_id", "turn", "parent", F.coalesce("sibling", "after").alias("sibling"))
+    )
+
+
+def reply_order(links: DataFrame, counts: DataFrame) -> DataFrame:
+    """conv_id, turn, parent, top (the tree's root), before, depth and size of every message that replies or is replied to.
 
-    Paths double in length with every round; a message's parent comes before it, so there are no rings.
+    ``before`` counts the rows (``counts``: conv_id, turn, n) that stand before a message in its tree, depth first, and
+    ``size`` all rows of the tree. A tree is walked as a list of events, entering and leaving each message; every event
+    points to a later one, and pointers double until they reach the tree's end. So an event keeps its few numbers
+    however deep the thread is, and no two events of a round point to one.
     """
-    state = materialise(links.select("conv_id", "turn", "parent", F.col("parent").alias("top"), F.array("parent", "turn").alias("path")), "paths")
-    while True:
-        upper = state.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("path").alias("upper"))
-        met = state.join(upper, ["conv_id", "top"], "left")
-        if met.where("next is not null").isEmpty():
-            return state.select("conv_id", "turn", "parent", "path")
-        longer = F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("upper", F.slice("path", F.lit(2), F.size("path"))))
-        state = materialise(met.select("conv_id", "turn", "parent", F.coalesce("next", "top").alias("top"), longer.alias("path")), "paths")
+    kids = materialise(_siblings(links), "kids")
+    tops = links.select("conv_id", F.col("parent").alias("turn")).distinct().join(links.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+    none = F.lit(None).cast("long")
+    tree = kids.unionByName(tops.select("conv_id", "turn", none.alias("parent"), none.alias("sibling")))
+    first = links.groupBy("conv_id", "parent").agg(F.min("turn").alias("child")).select("conv_id", F.col("parent").alias("turn"), "child")
+    tree = tree.join(first, ["conv_id", "turn"], "left").join(counts, ["conv_id", "turn"])
+    # Leaving is odd, entering even: (turn, leaves) names an event.
+    enter = F.struct(
+        F.lit(0).alias("leaves"), F.coalesce("child", "turn").alias("to"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("to_leaves"), F.col("n").alias("rows"), F.lit(1).alias("down")
+    )
+    leave = F.struct(
+        F.lit(1).alias("leaves"), F.coalesce("sibling", "parent").alias("to"), F.when(F.col("sibling").isNull(), 1).otherwise(0).alias("to_leaves"), F.lit(0).cast("long").alias("rows"), F.lit(-1).alias("down")
+    )
+    events = tree.select("conv_id", "turn", F.explode(F.array(enter, leave)).alias("e")).select(
+        "conv_id", "turn", "e.leaves", "e.to", "e.to_leaves", "e.rows", F.col("e.down").cast("long").alias("down"), F.when(F.col("e.to").isNull(), F.col("turn")).alias("top")
+    )
+    state = materialise(events, "events")
+    while not state.where("to is not null").isEmpty():
+        later = state.select(
+            "conv_id", F.col("turn").alias("to"), F.col("leaves").alias("to_leaves"), F.col("to").alias("far"), F.col("to_leaves").alias("far_leaves"),
+            F.col("rows").alias("far_rows"), F.col("down").alias("far_down"), F.col("top").alias("far_top"),
+        )
+        met = state.join(later, ["conv_id", "to", "to_leaves"], "left")
+        state = materialise(
+            met.select(
+                "conv_id", "turn", "leaves", F.col("far").alias("to"), F.coalesce("far_leaves", "to_leaves").alias("to_leaves"),
+                (F.col("rows") + F.coalesce("far_rows", F.lit(0))).alias("rows"), (F.col("down") + F.coalesce("far_down", F.lit(0))).alias("down"), F.coalesce("far_top", "top").alias("top"),
+            ),
+            "events",
+        )
+    ranked = state.where("leaves = 0").select("conv_id", "turn", "top", F.col("rows").alias("rest"), (-F.col("down")).alias("depth"))
+    sizes = ranked.where("turn = top").select("conv_id", "top", F.col("rest").alias("size"))
+    met = ranked.join(sizes, ["conv_id", "top"]).join(links, ["conv_id", "turn"], "left")
+    return met.select("conv_id", "turn", "parent", "top", (F.col("size") - F.col("rest")).alias("before"), "depth", "size")
 
 
 def link_messages(messages: DataFrame) -> DataFrame:
@@ -108,18 +157,28 @@ def link_messages(messages: DataFrame) -> DataFrame:
     parsed = parse(messages)
     links = materialise(reply_links(parsed), "links")
     plain = parsed.select("conv_id", "turn", "role", "body")
+    counts = messages.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
+    alone = [F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("depth")]
     if links.isEmpty():
-        placed = plain.select("*", F.lit(None).cast("long").alias("parent"), F.array("turn").alias("path"))
+        placed = counts.select("conv_id", "turn", *alone, F.col("turn").alias("top"), F.col("n").alias("size"))
     else:
-        paths = reply_paths(links)
-        placed = plain.join(paths, ["conv_id", "turn"], "left").withColumn("path", F.coalesce("path", F.array("turn")))
-    placed = placed.withColumn("bucket", F.floor(F.get("path", F.lit(0)) / BUCKET_TURNS))
-    sizes = placed.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(F.col("conv_id").alias("base_conv"), F.col("bucket").alias("base_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("conv_id", "bucket").orderBy("path", "role", "body"))
-    based = placed.join(bases, F.col("conv_id").eqNullSafe(F.col("base_conv")) & F.col("bucket").eqNullSafe(F.col("base_bucket")))
-    return based.select("conv_id", "turn", "role", "body", "parent", (F.size("path") - 1).alias("depth"), (F.col("base") + inside - 1).alias("position"))
+        tree = materialise(reply_order(links, counts), "trees")
+        rest = counts.join(tree.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+        placed = rest.select("conv_id", "turn", *alone, F.col("turn").alias("top"), F.col("n").alias("size")).unionByName(tree.select("conv_id", "turn", "parent", "before", "depth", "top", "size"))
+    # Trees and messages alone stand in the order of their first turns: rows in the buckets before, and in the own one.
+    roots = placed.where("parent is null").select(F.col("conv_id").alias("root_conv"), F.col("top").alias("root_turn"), "size", F.floor(F.col("top") / BUCKET_TURNS).alias("bucket"))
+    sums = roots.groupBy(F.col("root_conv").alias("sum_conv"), F.col("bucket").alias("sum_bucket")).agg(F.sum("size").alias("rows"))
+    upto = lambda value, w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select("sum_conv", "sum_bucket", upto("rows", Window.partitionBy("sum_conv").orderBy("sum_bucket")).alias("base"))
+    inside = roots.select("root_conv", "bucket", "root_turn", upto("size", Window.partitionBy("root_conv", "bucket").orderBy("root_turn")).alias("inside"))
+    same = lambda **names: [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
+    at = inside.join(bases, same(root_conv="sum_conv", bucket="sum_bucket")).select("root_conv", "root_turn", (F.col("base") + F.col("inside")).alias("base"))
+    known = placed.join(at, same(conv_id="root_conv", top="root_turn")).select(
+        F.col("conv_id").alias("own_conv"), F.col("turn").alias("own_turn"), "parent", "depth", (F.col("base") + F.col("before")).alias("start")
+    )
+    met = plain.join(known, same(conv_id="own_conv", turn="own_turn"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "body"))
+    return met.select("conv_id", "turn", "role", "body", "parent", "depth", (F.col("start") + nth - 1).alias("position"))
 
 
 def chat_rows(linked: DataFrame, part_messages: int = PART_MESSAGES) -> DataFrame:
@@ -164,20 +223,22 @@ said AS (
     SELECT conv_id, turn, unnest(list_distinct(list_transform(
       string_split(regexp_replace(lower(regexp_replace(body, '[ \t\r\n\f]+', ' ', 'g')), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)),
       lambda s: trim(regexp_replace(regexp_replace(s, '[^\p{L}\p{N} ]', '', 'g'), ' +', ' ', 'g'))))) AS sentence
-    FROM parsed) WHERE length(sentence) >= 12 GROUP BY ALL),
+    FROM parsed) WHERE length(sentence) > 0 GROUP BY ALL),
 levels AS (
   SELECT rid, conv_id, turn, lines, unnest(list_distinct(list_transform(list_filter(lines, lambda x: x.level > 0), lambda x: x.level))) AS level
   FROM parsed),
 quotes AS (
-  SELECT conv_id, turn, level, unnest(list_distinct(list_transform(
+  SELECT rid, conv_id, turn, level, unnest(list_distinct(list_transform(
       string_split(regexp_replace(lower(regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: x.level = level), lambda x: x.body), ' '),
         '[ \t\r\n\f]+', ' ', 'g')), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)),
       lambda s: trim(regexp_replace(regexp_replace(s, '[^\p{L}\p{N} ]', '', 'g'), ' +', ' ', 'g'))))) AS sentence
   FROM levels),
+linking AS (SELECT * FROM quotes WHERE length(sentence) > 0
+  QUALIFY length(sentence) >= 12 OR max(length(sentence)) OVER (PARTITION BY rid, level) < 12),
 votes AS (
   SELECT q.conv_id, q.turn, s.parent, min(q.level) AS level, count(*) AS votes
-  FROM quotes q JOIN said s ON q.conv_id = s.conv_id AND q.sentence = s.sentence AND s.parent < q.turn
-  WHERE length(q.sentence) >= 12 GROUP BY ALL),
+  FROM linking q JOIN said s ON q.conv_id = s.conv_id AND q.sentence = s.sentence AND s.parent < q.turn
+  GROUP BY ALL),
 links AS (
   SELECT conv_id, turn, parent FROM votes
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, votes DESC, parent DESC) = 1),
