@@ -25,8 +25,8 @@ PRIOR_ITEMS = 40
 SAMPLE_ROWS = 5000
 #: A word feature is learnt from if so many sampled texts have it.
 LEAST_TEXTS = 10
-#: Bytes of one sampled text that may reach the driver; a longer one is left out of the sample.
-SAMPLE_TEXT_BYTES = 1 << 18
+#: A text's features: their numbers, ascending, and their means. However long the text, it has ``WORD_DIM + CHAR_DIM`` at most.
+Bag = tuple[np.ndarray, np.ndarray]
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -117,12 +117,28 @@ class Sample:
         return np.bincount(self.col, weights=self.val * residual[self.row], minlength=self.dim) - self.mean * residual.sum()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int, int]]:
-    """(text, quality, toxic) of a bounded sample in a fixed order.
+def bags(texts: pa.Array) -> Iterator[Bag]:
+    """The features of every text of a column."""
+    dim = np.int64(WORD_DIM + CHAR_DIM)
+    for first, end, data, off in chunks(texts):
+        parts = []
+        for (index, at), shift in zip(features(data, off), (0, WORD_DIM), strict=True):
+            key, count = np.unique(owners(at) * dim + index + shift, return_counts=True)
+            row = key // dim
+            values = (count / (np.diff(at) + PRIOR_ITEMS)[row]).astype(np.float32)
+            parts.append(((key % dim).astype(np.int32), values, np.searchsorted(row, np.arange(end - first + 1))))
+        for i in range(end - first):
+            own = [slice(at[i], at[i + 1]) for _, _, at in parts]
+            yield tuple(np.concatenate([part[k][x] for part, x in zip(parts, own, strict=True)]) for k in (0, 1))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[Bag, int, int]]:
+    """(features, quality, toxic) of a bounded sample in a fixed order; the features are made where the texts are.
 
     Labels without a doc_id or quality don't count; of several labels of one document the lowest
     quality and the highest toxicity hold, of several texts the first in order. A null toxicity is 0.
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
@@ -131,38 +147,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         .limit(rows)
     )
     # At most ``rows`` rows, so they may always be broadcast.
-    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    one = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
-    found = [(r["doc_id"], r["text"], r["quality"], r["toxic"]) for r in one.toLocalIterator()]
-    return [x[1:] for x in sorted(found)]
-
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    one = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").cast("long").alias("quality"), F.first("toxic").cast("long").alias("toxic"))
 
-def _counted(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, feature, mean) of every chunk of texts."""
-    dim = np.int64(WORD_DIM + CHAR_DIM)
-    for first, _, data, off in chunks(pa.array(texts, pa.string())):
-        for (index, at), shift in zip(features(data, off), (0, WORD_DIM), strict=True):
-            key, count = np.unique(owners(at) * dim + index + shift, return_counts=True)
-            row = key // dim
-            yield (row + first).astype(np.int32), (key % dim).astype(np.int32), (count / (np.diff(at) + PRIOR_ITEMS)[row]).astype(np.float32)
-
-
-def sparse(texts: list[str]) -> Sample:
-    """The sample's feature means; word features of too few texts are left out, and never held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(bags(batch.column("text")))
+            yield pa.record_batch(
+                {c: batch.column(c) for c in ("doc_id", "quality", "toxic")}
+                | {name: pa.array([bag[k].tobytes() for bag in found], pa.binary()) for k, name in enumerate(("numbers", "means"))}
+            )
+
+    counted = one.mapInArrow(run, "doc_id long, quality long, toxic long, numbers binary, means binary")
+    found = [(r["doc_id"], (np.frombuffer(r["numbers"], np.int32), np.frombuffer(r["means"], np.float32)), r["quality"], r["toxic"]) for r in counted.toLocalIterator()]
+    return [x[1:] for x in sorted(found, key=lambda x: x[0])]
+
+
+def sparse(found: list[Bag | str]) -> Sample:
+    """The sample's feature means; word features of too few texts are left out. Plain texts are counted here."""
+    texts = [x for x in found if isinstance(x, str)]
+    counted = bags(pa.array(texts, pa.string()))
+    held = [next(counted) if isinstance(x, str) else x for x in found]
     texts_with = np.zeros(WORD_DIM + CHAR_DIM, np.int64)
-    for _, col, _ in _counted(texts):
-        texts_with += np.bincount(col, minlength=len(texts_with))
+    for col, _ in held:
+        texts_with[col] += 1
     keep = texts_with >= LEAST_TEXTS
     keep[WORD_DIM:] = texts_with[WORD_DIM:] > 0
     used = np.flatnonzero(keep)
     number = np.cumsum(keep, dtype=np.int32) - 1
     rows, cols, vals = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-    for row, col, val in _counted(texts):
+    for row, (col, val) in enumerate(held):
         at = keep[col]
-        rows.append(row[at])
+        rows.append(np.full(int(at.sum()), row, np.int32))
         cols.append(number[col[at]])
         vals.append(val[at])
-    return Sample(np.concatenate(rows), np.concatenate(cols), np.concatenate(vals), len(texts), used)
+    return Sample(np.concatenate(rows), np.concatenate(cols), np.concatenate(vals), len(held), used)
 
 
 def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 80, memory: int = 8) -> np.ndarray:

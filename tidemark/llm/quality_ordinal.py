@@ -61,7 +61,7 @@ def telling(sample: labelled.Sample, level: np.ndarray, cut: int) -> np.ndarray:
     return np.maximum(out, 0.0)
 
 
-def fit(found: list[tuple[str, int, int]]) -> OrdinalModel:
+def fit(found: list[tuple[labelled.Bag | str, int, int]]) -> OrdinalModel:
     grades = np.array([grade(q, t) for _, q, t in found], np.int64)
     have = np.unique(grades)
     if len(have) < 2:

@@ -100,7 +100,7 @@ def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     return float(loss.mean()), (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
 
 
-def fit(found: list[tuple[str, int, int]]) -> QualityModel:
+def fit(found: list[tuple[labelled.Bag | str, int, int]]) -> QualityModel:
     """The model of a labelled sample."""
     y = np.array([float(quality > 0) for _, quality, _ in found])
     if len(set(y)) < 2:
