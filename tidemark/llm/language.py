@@ -2,8 +2,8 @@
 
 A text is cut into blocks, each block is compressed by zstandard with each language's dictionary, and
 the sizes are summed, so every part of a long text counts. A prediction whose margin over the next
-language is narrow is marked as not accepted. Dictionaries are built from a bounded sample of
-labelled training documents (``SAMPLE_DOCS`` of each language, those with the lowest hash).
+language is narrow is marked as not accepted. A dictionary holds ``DICTIONARY_BLOCKS`` blocks, drawn from
+anywhere in a bounded sample of training documents (``SAMPLE_CLASSES`` x ``CLASS_DOCS`` of each language).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and not accepted; ties
 go to the first language in code-point order; without any labelled document all are ``und``; with
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, small_batches
 
 UNKNOWN = "und"
-#: Bounds of the training sample and of a language's dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 300, 4096, 1 << 17
+#: Bounds of the training sample: of a language's documents, dealt into hash classes, so many with the lowest hash of each.
+SAMPLE_CLASSES, CLASS_DOCS = 40, 15
+#: A dictionary has so many blocks of these documents at most, those of the lowest hash; a block has so many characters.
+DICTIONARY_BLOCKS, BLOCK_CHARS = 512, 512
 BLOCK_BYTES, LEVEL = 2048, 3
 #: Least relative margin between the two smallest sizes.
 LEAST_MARGIN = 0.01
@@ -75,23 +77,27 @@ class LanguageModel:
         return ranked[0][1], score, score >= LEAST_MARGIN
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
+def learn(docs: DataFrame, classes: int = SAMPLE_CLASSES, class_docs: int = CLASS_DOCS, blocks: int = DICTIONARY_BLOCKS) -> LanguageModel:
     """Dictionaries from documents outside fold 0 that have a language, a text and a doc_id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
     keyed = known.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("key"))
-    sizes = keyed.groupBy("lang").agg(F.count("*").alias("size"))
-    # Of a language of many documents only those of a low hash, four times as many as are wanted, are put in order.
-    share = F.pmod("key", F.lit(1 << 40)) / float(1 << 40)
-    low = keyed.join(sizes, "lang").where(share < 4.0 * sample_docs / F.col("size"))
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    ranked = low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
-    chosen = ranked.select("doc_id", "lang", "place")
-    met = known.select("doc_id", "lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = met.groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text")).orderBy("lang", "place").toLocalIterator()
+    keyed = keyed.withColumn("class", F.pmod(F.col("key"), F.lit(classes)))
+    # A limit for every class of every language holds before the shuffle, and no language meets in one task.
+    place = F.row_number().over(Window.partitionBy("lang", "class").orderBy("key", "doc_id"))
+    chosen = keyed.withColumn("place", place).where(F.col("place") <= class_docs).select("doc_id", "lang").distinct()
+    # Of repeated rows of one document the least text counts. All blocks of a text have the same chance, wherever they stand.
+    met = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(BLOCK_CHARS))
+    cut = met.select("lang", "doc_id", "text", F.explode(starts).alias("start")).select(
+        "lang", F.xxhash64("doc_id", "start").alias("key"), "doc_id", "start", F.substring("text", F.col("start") + 1, F.lit(BLOCK_CHARS)).alias("block")
+    )
+    # A block of every document comes before a second one of any, so that a dictionary is of many documents.
+    cut = cut.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy("key", "start")))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "key", "doc_id", "start"))
     parts: dict[str, list[bytes]] = {}
-    for r in rows:
-        parts.setdefault(r["lang"], []).append(r["text"].lower().encode("utf-8", "surrogatepass"))
-    return LanguageModel({lang: b"\n".join(p)[-DICTIONARY_BYTES:].ljust(8, b" ") for lang, p in parts.items()})
+    for r in cut.withColumn("place", order).where(F.col("place") <= blocks).orderBy("lang", "place").toLocalIterator():
+        parts.setdefault(r["lang"], []).append(r["block"].lower().encode("utf-8", "surrogatepass"))
+    return LanguageModel({lang: b"\n".join(p).ljust(8, b" ") for lang, p in parts.items()})
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
