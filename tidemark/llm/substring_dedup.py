@@ -161,7 +161,8 @@ def clean_column(texts: pa.Array, places: pa.Array, size: int = SPAN) -> tuple[l
 
 
 def dedup_substrings(docs: DataFrame, report: bool = False, size: int = SPAN) -> DataFrame:
-    """``docs`` with cleaned texts and all their columns as they were; with ``report`` three counts besides.
+    """``docs`` with cleaned texts and all their columns as they were; with ``report`` three counts besides,
+    n_sentences, n_removed and n_removed_words, with an underscore before a name that ``docs`` has already.
 
     A text of which nothing with a word is left becomes empty.
     """
@@ -171,6 +172,7 @@ def dedup_substrings(docs: DataFrame, report: bool = False, size: int = SPAN) ->
     keyed = docs.withColumn(key, F.xxhash64("text"))
     met = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits[doc]) & (keyed[key] == hits[version]), "left").select(*docs.columns, places)
     at = docs.columns.index("text")
+    counts = unused(docs, "n_sentences", "n_removed", "n_removed_words")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +182,10 @@ def dedup_substrings(docs: DataFrame, report: bool = False, size: int = SPAN) ->
             names = list(batch.schema.names[:-1])
             if report:
                 columns += [pa.array(x, pa.int32()) for x in (pieces, removed, words)]
-                names += ["n_sentences", "n_removed", "n_removed_words"]
+                names += counts
             yield pa.record_batch(columns, names=names)
 
-    return met.mapInArrow(run, schema + (", n_sentences int, n_removed int, n_removed_words int" if report else ""))
+    return met.mapInArrow(run, schema + ("".join(f", `{c}` int" for c in counts) if report else ""))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
