@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from fixtures import odd_rows, prose
 
-from tidemark.llm import bpe, chat, fingerprint, labelled, language, neardup, packing, quality_ordinal, quality_rules, sharding, substring_dedup, tokens
+from tidemark.llm import bpe, chat, fingerprint, labelled, language, neardup, packing, quality_ordinal, quality_rules, sharding, substring_dedup, textvec, tokens
 
 DATA = os.environ.get("TEST_DATA", "/root/testdata")
 SF = f"{DATA}/sf0.001"
@@ -65,22 +65,46 @@ def test_sharding_odd_rows(odd, none):
 # -- 2 substrings
 
 
+def word_hash(word: str) -> int:
+    data = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)
+    return int(textvec.Words(data, np.array([0, len(data)])).hashes[0])
+
+
+def brute_pieces(text: str) -> list[tuple[tuple[str, ...], bool]]:
+    """Sentences as (words, False), and the pieces of long ones as (words, True)."""
+    out = []
+    for sentence in re.split(r"(?<=[.!?])(?=[ \t\n\v\f\r])|(?<=\n)", text):
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), sentence))
+        if len(words) <= substring_dedup.PIECE_WORDS:
+            out += [(tuple(words), False)] if words else []
+            continue
+        hashes, cuts = [word_hash(w) for w in words], {0}
+        for k in range(len(words) - substring_dedup.CUT_WINDOW + 1):
+            window = hashes[k : k + substring_dedup.CUT_WINDOW]
+            cuts.add(k + max(i for i, h in enumerate(window) if h == min(window)))
+        edges = [*sorted(cuts), len(words)]
+        out += [(tuple(words[i:j]), True) for i, j in zip(edges, edges[1:], strict=False)]
+    return out
+
+
 def brute_removed(docs: list[tuple[int, str]]) -> dict[int, set[int]]:
-    pieces = {}
-    for doc, text in docs:
-        out = []
-        for sentence in re.split(r"(?<=[.!?])(?=[ \t\n\v\f\r])|(?<=\n)", text):
-            words = re.findall("[0-9a-z\x80-\U0010ffff]+", sentence.lower())
-            out += [tuple(words[k : k + substring_dedup.PIECE_WORDS]) for k in range(0, len(words), substring_dedup.PIECE_WORDS)]
-        pieces[doc] = out
-    seen, gone = {}, defaultdict(set)
-    for doc, _ in sorted(docs):
-        for k in range(len(pieces[doc]) - 2):
-            run = tuple(pieces[doc][k : k + 3])
-            if sum(map(len, run)) >= substring_dedup.LEAST_WORDS:
-                if run in seen:
-                    gone[doc] |= {k, k + 1, k + 2}
-                seen.setdefault(run, (doc, k))
+    seen, gone = set(), defaultdict(set)
+    for doc, text in sorted(docs):
+        pieces = brute_pieces(text)
+        for k in range(len(pieces)):
+            end, need = k + 3, substring_dedup.LEAST_WORDS
+            while end <= len(pieces):
+                if any(cut for _, cut in pieces[k:end]):
+                    need = substring_dedup.PIECE_WORDS
+                if sum(len(w) for w, _ in pieces[k:end]) >= need:
+                    break
+                end += 1
+            if end > len(pieces):
+                continue
+            run = tuple(w for w, _ in pieces[k:end])
+            if run in seen:
+                gone[doc] |= set(range(k, end))
+            seen.add(run)
     return gone
 
 
