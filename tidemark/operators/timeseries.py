@@ -35,13 +35,12 @@ def select_stacks(dates: DataFrame, event: str, most_pre: int = MOST_PRE, pre_da
     return chosen.withColumn("both", F.size(phases)).where("both = 2").select("track", "date", "phase")
 
 
-def stack_summary(chosen: DataFrame) -> DataFrame:
-    """A row for each track: post date, number of pre dates and lag, soonest and longest stack first."""
+def stack_summary(chosen: DataFrame, event: str) -> DataFrame:
+    """A row for each track: post date, number of pre dates and days from the event to the post date, soonest and longest stack first."""
     post = F.max(F.when(F.col("phase") == "post", F.col("date")))
-    pre = F.max(F.when(F.col("phase") == "pre", F.col("date")))
     return (
         chosen.groupBy("track")
-        .agg(post.alias("post_date"), F.count_if(F.col("phase") == "pre").alias("n_pre"), F.datediff(post, pre).cast("long").alias("lag_days"))
+        .agg(post.alias("post_date"), F.count_if(F.col("phase") == "pre").alias("n_pre"), F.datediff(post, F.lit(event).cast("date")).cast("long").alias("lag_days"))
         .orderBy("post_date", F.desc("n_pre"), "track")
     )
 

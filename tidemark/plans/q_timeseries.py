@@ -36,7 +36,7 @@ def chosen_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stack_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.stack_summary(chosen_dates(spark, sf_dir))
+    return T.stack_summary(chosen_dates(spark, sf_dir), EVENT)
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,7 @@ changes AS (SELECT track, cell, n_pre, post_db - 10 * log10(greatest(pre_power,
 SQL = {
     "s1_pass_grouping": "SELECT CAST(ts AS DATE) AS date, CAST(user_id % 3 AS INTEGER) AS track, count(*) AS n_items, min(event_id) AS first_item FROM events GROUP BY 1, 2",
     "stack_selection": _CHANGES
-    + "SELECT track, max(date) FILTER (post) AS post_date, count(*) FILTER (NOT post) AS n_pre, CAST(max(date) FILTER (post) - max(date) FILTER (NOT post) AS BIGINT) AS lag_days FROM chosen GROUP BY track",
+    + "SELECT track, max(date) FILTER (post) AS post_date, count(*) FILTER (NOT post) AS n_pre, CAST(max(date) FILTER (post) - DATE '2024-01-16' AS BIGINT) AS lag_days FROM chosen GROUP BY track",
     "change_zscore": _CHANGES + "SELECT track, cell, round(delta, 6) AS delta, round(z, 6) AS z, n_pre FROM changes",
     "track_vote": _CHANGES
     + "SELECT cell, round(max(abs(z)), 6) AS z_max, bool_or(abs(z) >= 3) AS strong, count(*) FILTER (abs(z) >= 2) AS n_agree, bool_or(abs(z) >= 3) OR count(*) FILTER (abs(z) >= 2) >= 2 AS radar_change FROM changes WHERE z IS NOT NULL GROUP BY cell",

@@ -13,9 +13,12 @@ KEEP_TAGS = (
 LAYERS = ("waterways", "water", "buildings", "roads", "bridges", "places", "health")
 CONTEXT_LAYERS = ("roads_major", "health", "towns")
 POLYGON_LAYERS = ("water", "buildings")
-WATERWAYS = ("river", "stream", "canal")
-MAJOR_ROADS = ("motorway", "trunk", "primary", "secondary", "tertiary", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link")
-ROADS = (*MAJOR_ROADS, "unclassified", "residential", "living_street", "service", "track", "road", "path", "footway", "steps", "bridleway")
+WATERWAYS = ("river", "stream", "canal", "drain")
+MAJOR_ROADS = (
+    "motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "road", "motorway_link", "trunk_link", "primary_link", "secondary_link",
+    "tertiary_link",
+)
+ROADS = (*MAJOR_ROADS, "residential", "living_street", "service", "track", "path", "footway", "steps", "bridleway")
 PLACES = ("city", "town", "village", "hamlet", "suburb", "neighbourhood", "locality", "isolated_dwelling")
 TOWNS = ("city", "town")
 
@@ -104,5 +107,7 @@ def candidate_dates(reference: Column) -> Column:
     """Dates for which a snapshot may exist: the last nine days, sixty firsts of months and the New Years since 2014, in that order."""
     days = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.date_sub(reference, k.cast("int")))
     months = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.add_months(F.trunc(reference, "month"), -k.cast("int")))
-    years = F.transform(F.sequence(F.year(reference), F.least(F.year(reference), F.lit(2014)), F.lit(-1)), lambda y: F.make_date(y, F.lit(1), F.lit(1)))
+    year = F.year(reference)
+    years = F.transform(F.sequence(F.lit(0), F.greatest(year - 2014, F.lit(0))), lambda k: F.make_date(year - k, F.lit(1), F.lit(1)))
+    years = F.filter(years, lambda d: F.year(d) >= 2014)
     return F.filter(F.array_distinct(F.concat(days, months, years)), lambda d: d <= reference)
