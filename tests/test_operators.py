@@ -80,10 +80,10 @@ def brute_labels(mask, diagonal):
 
 
 @pytest.mark.parametrize("diagonal", [False, True])
-@pytest.mark.parametrize("local_edges", [0, 1 << 18])
-def test_components(spark, diagonal, local_edges):
+@pytest.mark.parametrize("tile", [3, 32, 512])
+def test_components(spark, diagonal, tile):
     mask = np.random.default_rng(3).random((9, 130)) < 0.5
-    got = {(r["x"], r["y"]): r["label"] for r in morphology.components(mask_of(spark, mask), diagonal, local_edges).collect()}
+    got = {(r["x"], r["y"]): r["label"] for r in morphology.components(mask_of(spark, mask), diagonal, tile).collect()}
     assert got == brute_labels(mask, diagonal)
 
 
@@ -152,8 +152,8 @@ def test_polygons_touch_cells(spark):
             assert not inside or (x, y) in got
 
 
-@pytest.mark.parametrize("local_edges", [0, 1 << 18])
-def test_shortest_times(spark, local_edges):
+@pytest.mark.parametrize("block", [None, lambda n: F.pmod(n.cast("int"), F.lit(3)).cast("string"), lambda n: F.lit("all")])
+def test_shortest_times(spark, block):
     rng = random.Random(4)
     edges = [(str(rng.randrange(12)), str(rng.randrange(12)), float(rng.randrange(1, 9))) for _ in range(20)]
     times = {"0": 0.0}
@@ -163,7 +163,7 @@ def test_shortest_times(spark, local_edges):
                 if a in times and times[a] + m < times.get(b, math.inf):
                     times[b] = times[a] + m
     df = spark.createDataFrame(edges, "u string, v string, minutes double")
-    got = network.shortest_times(df, spark.createDataFrame([("0",)], "node string"), local_edges=local_edges)
+    got = network.shortest_times(df, spark.createDataFrame([("0",)], "node string"), block=block)
     assert {r["node"]: r["time"] for r in got.collect()} == times
 
 

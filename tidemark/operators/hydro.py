@@ -86,7 +86,7 @@ def accumulation(flow: DataFrame) -> DataFrame:
         sent = state.where("to is not null").groupBy(F.col("to").alias("cell")).agg(F.sum("acc").alias("more"))
         jump = state.select(F.col("cell").alias("to"), F.col("to").alias("next"))
         met = state.join(jump, "to", "left").join(sent, "cell", "left")
-        state = materialise(met.select("cell", F.col("next").alias("to"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")), "acc")
+        state = materialise(met.select("cell", F.col("next").alias("to"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")), "acc", state)
     return state.select("cell", "acc")
 
 
@@ -96,7 +96,7 @@ def drains_to(flow: DataFrame, stream: DataFrame) -> DataFrame:
     state = materialise(marked.select("cell", F.when(F.col("is_stream"), F.col("cell")).alias("drain"), F.when(F.col("is_stream").isNull(), F.col("to")).alias("to")), "drains")
     while not state.where("to is not null").isEmpty():
         jump = state.select(F.col("cell").alias("to"), F.col("drain").alias("far"), F.col("to").alias("next"))
-        state = materialise(state.join(jump, "to", "left").select("cell", F.coalesce("drain", "far").alias("drain"), F.col("next").alias("to")), "drains")
+        state = materialise(state.join(jump, "to", "left").select("cell", F.coalesce("drain", "far").alias("drain"), F.col("next").alias("to")), "drains", state)
     return state.select("cell", "drain")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +36,22 @@ def dilate(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
 
 
 def nearest_within(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
-    """x, y, d2 and the nearest mask pixel (mx, my) of every pixel within ``radius``; of equal distances the lowest row, then column."""
-    near = ball(mask.select("x", "y", F.col("x").alias("mx"), F.col("y").alias("my")), radius, False, "mx", "my")
-    inside = near.where(f"x between 0 and {width - 1} and y between 0 and {height - 1}")
-    d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-    best = F.min(F.struct(d2.alias("d2"), "my", "mx"))
-    return inside.groupBy("x", "y").agg(best.alias("best")).select("x", "y", "best.d2", "best.mx", "best.my")
+    """x, y, d2 and the nearest mask pixel (mx, my) of every pixel within ``radius``; of equal distances the lowest row, then column.
+
+    First up and down the columns, then along the rows: a pixel is spread to 2 r + 1 places twice, not to a disc. The
+    nearest pixel of a column is the only one of it that can be nearest to a place of that row.
+    """
+    upright = mask.select("x", F.col("y").alias("my"), F.explode(F.sequence(F.greatest(-F.lit(radius), -F.col("y")), F.least(F.lit(radius), F.lit(height - 1) - F.col("y")))).alias("dy"))
+    column = upright.groupBy("x", (F.col("my") + F.col("dy")).alias("y")).agg(F.min(F.struct((F.col("dy") * F.col("dy")).alias("dy2"), "my")).alias("best"))
+    half = F.floor(F.sqrt((F.lit(radius * radius) - F.col("best.dy2")).cast("double"))).cast("int")
+    across = F.sequence(F.greatest(-half, -F.col("x")), F.least(half, F.lit(width - 1) - F.col("x")))
+    spread = column.select(F.col("x").alias("mx"), "y", F.col("best.my").alias("my"), F.col("best.dy2").alias("dy2"), F.explode(across).alias("dx"))
+    best = F.min(F.struct((F.col("dy2") + F.col("dx") * F.col("dx")).alias("d2"), "my", "mx"))
+    return spread.groupBy((F.col("mx") + F.col("dx")).alias("x"), "y").agg(best.alias("best")).select("x", "y", "best.d2", "best.mx", "best.my")
 
 
-#: Edges that may be joined on the driver: a few megabytes. More go by rounds of joins, with the same result.
-LOCAL_EDGES = 1 << 18
+#: Pixels along the side of a tile whose components are found in one task.
+TILE = 512
 
 
 def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,44 +69,52 @@ def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def components(mask: DataFrame, diagonal: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def tile_labels(x: np.ndarray, y: np.ndarray, diagonal: bool) -> np.ndarray:
+    """The least pixel (y * 2^32 + x) of each pixel's component, for the distinct pixels of one tile."""
+    cell = y.astype(np.int64) * (1 << 32) + x
+    order = np.argsort(cell)
+    ranked = cell[order]
+    pairs = [(cell, cell)]
+    for step in (1, 1 << 32, *(((1 << 32) + 1, (1 << 32) - 1) if diagonal else ())):
+        at = np.minimum(np.searchsorted(ranked, cell + step), len(cell) - 1)
+        met = ranked[at] == cell + step
+        pairs.append((cell[met], cell[met] + step))
+    nodes, label = least_labels(*(np.concatenate(side) for side in zip(*pairs, strict=True)))
+    return label[np.searchsorted(nodes, cell)]
+
+
+def components(mask: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:
     """x, y and label (the row-major least pixel y * 2^32 + x) of every mask pixel.
 
-    Pixels are first joined to horizontal runs, so the graph's vertices are runs. A small graph, by its counted
-    edges, is solved on the driver; in a larger one labels fall to the neighbours' least and to that label's own
-    label, so the rounds grow with the logarithm of the diameter.
+    A task labels the pixels of one tile. Labels that meet at the tiles' seams are the edges of a far smaller graph, in
+    which labels fall to the neighbours' least and to that label's own label: rounds grow with the logarithm of the
+    number of tiles that a component goes through.
     """
-    runs = mask.select("x", "y").withColumn("gap", F.expr("x - row_number() over (partition by y order by x)"))
-    runs = materialise(runs.groupBy("y", "gap").agg(F.min("x").alias("a"), F.max("x").alias("b")).select((F.col("y") * (1 << 32) + F.col("a")).alias("run"), "y", "a", "b"), "runs")
-    reach = 1 if diagonal else 0
-    # Runs of neighbouring rows meet if they overlap: an equi-join on row and on blocks of columns.
-    block = 64
-    blocks = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block)))
-    upper = runs.select("run", "y", "a", "b", blocks(F.col("a"), F.col("b")).alias("block"))
-    lower = runs.select(F.col("run").alias("other"), (F.col("y") - 1).alias("y"), F.col("a").alias("c"), F.col("b").alias("d"), blocks(F.col("a") - reach, F.col("b") + reach).alias("block"))
-    edges = upper.join(lower, ["y", "block"]).where(f"a <= d + {reach} and c <= b + {reach}").select("run", "other").distinct()
-    edges = materialise(edges, "run-edges")
-    if edges.count() <= local_edges:
-        found = edges.toArrow()
-        run, label = least_labels(found.column("run").to_numpy(), found.column("other").to_numpy())
-        known = mask.sparkSession.createDataFrame(pa.table({"run": run, "known": label}))
-        labels = runs.select("run").join(known, "run", "left").select("run", F.coalesce("known", "run").alias("label"))
-        return _pixels_of_runs(runs, labels)
-    edges = materialise(edges.union(edges.select("other", "run")), "run-edges")
-    labels = materialise(runs.select("run", F.col("run").alias("label")), "run-labels")
+    named = mask.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
+
+    def label(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame[["x", "y"]].assign(label=tile_labels(frame["x"].to_numpy(), frame["y"].to_numpy(), diagonal))
+
+    side = lambda c: F.floor(F.col(c) / tile)
+    own = named.groupBy(side("x").alias("tx"), side("y").alias("ty")).applyInPandas(label, "x int, y int, label long")
+    own = materialise(own, "tiles")
+    place = lambda c: F.pmod(F.col(c), F.lit(tile))
+    rim = own.where((place("x") == 0) | (place("x") == tile - 1) | (place("y") == 0) | (place("y") == tile - 1))
+    steps = [(1, 0), (0, 1), (1, 1), (-1, 1)] if diagonal else [(1, 0), (0, 1)]
+    there = shifted(rim, steps, "label").select("x", "y", F.col("label").alias("other"))
+    seams = rim.join(there, ["x", "y"]).where("label <> other").select("label", "other").distinct()
+    edges = materialise(seams.union(seams.select(F.col("other").alias("label"), F.col("label").alias("other"))).distinct(), "seams")
+    if edges.isEmpty():
+        return own
+    roots = materialise(edges.select("label", F.col("label").alias("root")).distinct(), "seam-labels")
     while True:
-        near = edges.join(labels.select(F.col("run").alias("other"), F.col("label").alias("near")), "other").groupBy("run").agg(F.min("near").alias("near"))
-        low = labels.join(near, "run", "left").select("run", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = labels.select(F.col("run").alias("low"), F.col("label").alias("far"))
-        new = materialise(low.join(jump, "low").select("run", "label", F.least("low", "far").alias("next")), "run-labels")
-        labels = new.select("run", F.col("next").alias("label"))
-        if new.where("next <> label").isEmpty():
-            break
-    return _pixels_of_runs(runs, labels)
-
-
-def _pixels_of_runs(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    return runs.join(labels, "run").select(F.explode(F.sequence("a", "b").cast("array<int>")).alias("x"), F.col("y").cast("int").alias("y"), "label")
+        near = edges.join(roots.select(F.col("label").alias("other"), F.col("root").alias("near")), "other").groupBy("label").agg(F.min("near").alias("near"))
+        low = roots.join(near, "label").select("label", "root", F.least("root", "near").alias("low"))
+        jump = roots.select(F.col("label").alias("low"), F.col("root").alias("far"))
+        new = materialise(low.join(jump, "low").select("label", F.col("root").alias("old"), F.least("low", "far").alias("root")), "seam-labels", roots)
+        roots = new
+        if new.where("old <> root").isEmpty():
+            return own.join(roots.select("label", "root"), "label", "left").select("x", "y", F.coalesce("root", "label").alias("label"))
 
 
 def drop_small(mask: DataFrame, least_pixels: float) -> DataFrame:

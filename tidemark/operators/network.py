@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,56 +44,78 @@ def road_edges(roads: DataFrame, foot: bool = False) -> DataFrame:
     return ends.groupBy(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(last.alias("e")).select("u", "v", "e.*")
 
 
-#: Edges, of all graphs together, that may be searched on the driver; more go by frontier rounds, with the same result.
-LOCAL_EDGES = 1 << 18
+#: Metres along the side of a block of a road graph that is searched in one task.
+BLOCK_M = 10_000.0
 
 
-def dijkstra(edges: list[tuple], sources: list[tuple]) -> dict[tuple, float]:
-    """Least minutes of (graph, node) from the sources; edges are (graph, u, v, minutes)."""
-    near: dict[tuple, list[tuple]] = {}
-    for graph, u, v, minutes in edges:
-        near.setdefault((graph, u), []).append(((graph, v), minutes))
-        near.setdefault((graph, v), []).append(((graph, u), minutes))
-    times: dict[tuple, float] = {}
-    queue = [(0.0, s) for s in sources]
+def block_of(node: Column, side: float = BLOCK_M) -> Column:
+    """The square of ground that a node named by its coordinates lies in."""
+    xy = F.split(node, ",")
+    part = lambda k: F.floor(F.get(xy, F.lit(k)).cast("double") / side).cast("string")
+    return F.concat_ws(",", part(0), part(1))
+
+
+def block_times(nodes: list, starts: list[float], ends: list, tos: list, minutes: list[float]) -> dict:
+    """Least minutes of all nodes that edges ends -> tos reach from ``nodes``, which had ``starts``. Only ends are passed through."""
+    near: dict = {}
+    for end, to, m in zip(ends, tos, minutes, strict=True):
+        near.setdefault(end, []).append((to, m))
+    best = dict(zip(nodes, starts, strict=True))
+    queue = [(t, n) for n, t in best.items()]
     heapq.heapify(queue)
     while queue:
         time, at = heapq.heappop(queue)
-        if at in times:
+        if time > best[at]:
             continue
-        times[at] = time
-        for to, minutes in near.get(at, ()):
-            if to not in times:
-                heapq.heappush(queue, (time + minutes, to))
-    return times
+        for to, m in near.get(at, ()):
+            if time + m < best.get(to, float("inf")):
+                best[to] = time + m
+                heapq.heappush(queue, (time + m, to))
+    return best
 
 
-def shortest_times(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] = (), most_rounds: int = 10_000, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def shortest_times(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] = (), block: Callable[[Column], Column] | None = None) -> DataFrame:
     """Keys, node and the least minutes from any source, for every node that one reaches.
 
-    Frontier rounds: only nodes whose time fell in a round are spread in the next one. With ``keys`` (say
-    scenario and target) all graphs run in one job. Edges are undirected: u, v, minutes. A small graph, by its
-    counted edges, is searched on the driver.
+    Rounds go on until no time falls. A round spreads only nodes whose time fell in the one before: over their
+    edges, or, with ``block`` (the block of a node, a bounded part of the graph), through the whole block in one
+    task, so that a round crosses a block and not an edge. With ``keys`` (say scenario and target) all graphs run
+    in one job. Edges are undirected: u, v, minutes.
     """
     on = [*keys, "node"]
-    edges = materialise(edges.select(*keys, "u", "v", "minutes"), "edges")
-    if edges.count() <= local_edges:
-        graph = F.struct(*keys) if keys else F.lit(0)
-        found = dijkstra([tuple(r) for r in edges.select(graph, "u", "v", "minutes").collect()], [tuple(r) for r in sources.select(graph, "node").distinct().collect()])
-        schema = sources.select(*on).schema.add("time", "double")
-        return edges.sparkSession.createDataFrame([(*(graph if keys else ()), node, time) for (graph, node), time in found.items()], schema)
-    both = edges.select(*keys, F.col("u").alias("node"), F.col("v").alias("to"), "minutes").union(edges.select(*keys, F.col("v").alias("node"), F.col("u").alias("to"), "minutes"))
-    both = materialise(both, "edges")
+    plain = edges.select(*keys, "u", "v", "minutes")
+    both = plain.select(*keys, F.col("u").alias("node"), F.col("v").alias("to"), F.col("minutes").cast("double").alias("minutes")).union(
+        plain.select(*keys, F.col("v").alias("node"), F.col("u").alias("to"), F.col("minutes").cast("double").alias("minutes"))
+    )
+    both = materialise(both.withColumn("block", block(F.col("node"))) if block else both, "edges")
     known = materialise(sources.select(*on).distinct().withColumn("time", F.lit(0.0)).withColumn("fresh", F.lit(True)), "times")
-    for _ in range(most_rounds):
-        spread = known.where("fresh").join(both, on).select(*keys, F.col("to").alias("node"), (F.col("time") + F.col("minutes")).alias("time"))
-        least = spread.groupBy(*on).agg(F.min("time").alias("offer"))
+    at = [*keys, "block"]
+    kinds = dict(known.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in on) + ", offer double, outside boolean"
+
+    def search(key: tuple, times: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = block_times(times["node"].tolist(), times["time"].tolist(), own["node"].tolist(), own["to"].tolist(), own["minutes"].tolist())
+        inside, had = set(own["node"]), dict(zip(times["node"], times["time"], strict=True))
+        rows = [(*key[: len(keys)], n, t, n not in inside) for n, t in found.items() if t < had.get(n, float("inf"))]
+        return pd.DataFrame(rows, columns=[*on, "offer", "outside"])
+
+    while True:
+        if block:
+            placed = known.withColumn("block", block(F.col("node")))
+            active = placed.where("fresh").select(*at).distinct()
+            times, own = placed.join(active, at, "left_semi").select(*at, "node", "time"), both.join(active, at, "left_semi")
+            offers = times.groupBy(*at).cogroup(own.groupBy(*at)).applyInPandas(search, schema)
+        else:
+            offers = known.where("fresh").join(both, on).select(*keys, F.col("to").alias("node"), (F.col("time") + F.col("minutes")).alias("offer"), F.lit(True).alias("outside"))
+        # What was found inside a block is spread there already, unless another block offers less.
+        least = offers.groupBy(*on).agg(F.min("offer").alias("offer"), F.min(F.when(F.col("outside"), F.col("offer"))).alias("outer"), F.min(F.when(~F.col("outside"), F.col("offer"))).alias("inner"))
         met = known.join(least, on, "full_outer")
-        better = F.coalesce(F.col("offer") < F.coalesce("time", F.lit(float("inf"))), F.lit(False))
-        known = materialise(met.select(*on, F.when(better, F.col("offer")).otherwise(F.col("time")).alias("time"), better.alias("fresh")), "times")
+        infinite = F.lit(float("inf"))
+        time = F.least(F.coalesce("time", infinite), F.coalesce("offer", infinite))
+        fresh = F.coalesce((F.col("outer") < F.coalesce("time", infinite)) & (F.col("outer") < F.coalesce("inner", infinite)), F.lit(False))
+        known = materialise(met.select(*on, time.alias("time"), fresh.alias("fresh")), "times", known)
         if known.where("fresh").isEmpty():
             return known.select(*on, "time")
-    raise RuntimeError(f"shortest times are not final after {most_rounds} rounds")
 
 
 def cut_roads(roads: DataFrame, road_status: DataFrame, bridge_status: DataFrame) -> DataFrame:
@@ -140,7 +164,7 @@ def access(edges: DataFrame, foot_edges: DataFrame, roads: DataFrame, targets: D
     graphs = graphs.select("*", kinds)
     names = F.explode(F.array(*[F.lit(s) for s in ("before", "after", "worst", "foot")])).alias("scenario")
     sources = targets.select("target", "node", "foot_node", names).select("scenario", "target", F.when(F.col("scenario") == "foot", F.col("foot_node")).otherwise(F.col("node")).alias("node"))
-    times = shortest_times(graphs, sources.where("node is not null"), ("scenario", "target"))
+    times = shortest_times(graphs, sources.where("node is not null"), ("scenario", "target"), block_of)
     wide = times.where("scenario <> 'foot'").groupBy("node").agg(
         *[F.max(F.when((F.col("scenario") == s) & (F.col("target") == t), F.col("time"))).alias(f"{t}_{s}") for s in ("before", "after", "worst") for t in ("hospital", "town")]
     )

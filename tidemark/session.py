@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where none is set (tests).
+    """The folder all executors share: ``spark.checkpoint.dir``. A local master (tests) without one gets a local folder.
 
     The setting is read from the session, also where only the context was given a folder.
     """
@@ -36,17 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     context.setCheckpointDir(folder)
     return folder
 
 
-def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there and no executor owns it."""
+def materialise(df: DataFrame, name: str = "cut", instead: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there and no executor owns it.
+
+    ``instead`` is a frame of an earlier call that nothing reads any more, as that of a loop's last round: its files go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._files = path
+    if instead is not None and getattr(instead, "_files", None):
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(instead._files)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
