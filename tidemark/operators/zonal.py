@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.grid import GridSpec
@@ -54,31 +54,41 @@ def rectangle_pixels(zones: DataFrame, grid: GridSpec) -> DataFrame:
     return cells.where(f"x between 0 and {grid.width - 1} and y between 0 and {grid.height - 1}")
 
 
-def polygon_pixels(polygons: DataFrame, grid: GridSpec) -> DataFrame:
-    """Pixels that polygons (id, ring: array of x, y) touch: in Arrow batches, a cell is touched if an edge crosses
-    it or its centre lies inside. Cells of one polygon are made a row of the raster at a time."""
+def polygon_pixels(polygons: DataFrame, grid: GridSpec, ring: str = "ring", closed: bool = True, where: Column | None = None) -> DataFrame:
+    """id, x and y of the pixels that polygons (id, ring: array of x, y) touch: in Arrow batches, a cell is touched if an edge
+    crosses it or its centre lies inside. ``closed`` False takes the ring as a line; ``where`` is which features count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, ring in zip(batch.column("id").to_pylist(), batch.column("ring").to_pylist(), strict=True):
-                if not ring:
+            for key, points in zip(batch.column("id").to_pylist(), batch.column("ring").to_pylist(), strict=True):
+                if not points:
                     continue
-                px = (np.array([p["x"] for p in ring]) - grid.left) / grid.res
-                py = (grid.top - np.array([p["y"] for p in ring])) / grid.res
-                for row, columns in touched_rows(px, py, grid.width, grid.height):
-                    n = len(columns)
-                    yield pa.record_batch({"id": pa.array([key] * n, pa.int64()), "x": pa.array(columns, pa.int32()), "y": pa.array(np.full(n, row), pa.int32())})
+                px = (np.array([p["x"] for p in points]) - grid.left) / grid.res
+                py = (grid.top - np.array([p["y"] for p in points])) / grid.res
+                rows = list(touched_rows(px, py, grid.width, grid.height, closed))
+                if rows:
+                    y = np.repeat([row for row, _ in rows], [len(columns) for _, columns in rows])
+                    x = np.concatenate([columns for _, columns in rows])
+                    yield pa.record_batch({"id": pa.array([key] * len(x), pa.int64()), "x": pa.array(x, pa.int32()), "y": pa.array(y, pa.int32())})
 
-    return polygons.select("id", "ring").mapInArrow(run, "id long, x int, y int")
+    chosen = polygons if where is None else polygons.where(where)
+    return chosen.select("id", F.col(ring).alias("ring")).mapInArrow(run, "id long, x int, y int")
 
 
-def touched_rows(px: np.ndarray, py: np.ndarray, width: int, height: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, columns) of the cells that a ring in pixel units touches."""
-    if (px[0], py[0]) != (px[-1], py[-1]):
+def line_pixels(lines: DataFrame, grid: GridSpec, where: Column | None = None) -> DataFrame:
+    """id, x and y of the pixels that lines (id, coords) touch, of those features only that ``where`` takes."""
+    return polygon_pixels(lines, grid, "coords", closed=False, where=where)
+
+
+def touched_rows(px: np.ndarray, py: np.ndarray, width: int, height: int, closed: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, columns) of the cells that a ring in pixel units touches, or a line if not ``closed``. A single point is its cell."""
+    if len(px) == 1:
+        px, py = np.append(px, px), np.append(py, py)
+    if closed and (px[0], py[0]) != (px[-1], py[-1]):
         px, py = np.append(px, px[0]), np.append(py, py[0])
     ax, ay, bx, by = px[:-1], py[:-1], px[1:], py[1:]
     for row in range(max(0, int(np.floor(py.min()))), min(height - 1, int(np.floor(py.max()))) + 1):
-        found = set()
+        spans: list[tuple[float, float]] = []
         # Edges within the row's band: the columns between where they enter and leave it.
         low, high = np.minimum(ay, by), np.maximum(ay, by)
         for k in np.flatnonzero((low <= row + 1) & (high >= row)):
@@ -87,14 +97,20 @@ def touched_rows(px: np.ndarray, py: np.ndarray, width: int, height: int) -> Ite
             else:
                 t = np.clip((np.array([row, row + 1]) - ay[k]) / (by[k] - ay[k]), 0, 1)
                 ends = ax[k] + t * (bx[k] - ax[k])
-            found.update(range(int(np.floor(min(ends))), int(np.floor(max(ends))) + 1))
+            spans.append((np.floor(min(ends)), np.floor(max(ends))))
         # Inside by the even-odd rule at the row's middle.
         mid = row + 0.5
-        cross = (ay <= mid) != (by <= mid)
+        cross = ((ay <= mid) != (by <= mid)) & closed
         at = np.sort(ax[cross] + (mid - ay[cross]) / (by[cross] - ay[cross]) * (bx[cross] - ax[cross]))
         for a, b in zip(at[0::2], at[1::2], strict=False):
-            found.update(range(int(np.ceil(a - 0.5)), int(np.floor(b - 0.5)) + 1))
-        columns = np.array(sorted(c for c in found if 0 <= c < width), np.int32)
+            spans.append((np.ceil(a - 0.5), np.floor(b - 0.5)))
+        # Where more spans begin than have ended, clipped to the grid.
+        edge = np.zeros(width + 1, np.int64)
+        for low_x, high_x in spans:
+            if low_x <= high_x and high_x >= 0 and low_x < width:
+                edge[max(0, int(low_x))] += 1
+                edge[min(width, int(high_x) + 1)] -= 1
+        columns = np.flatnonzero(np.cumsum(edge)[:-1] > 0).astype(np.int32)
         if len(columns):
             yield row, columns
 
@@ -197,6 +213,18 @@ def nearest_point(queries: DataFrame, targets: DataFrame, most: float) -> DataFr
     return met.groupBy("qid").agg(F.min(F.struct("distance", "tid")).alias("best")).select("qid", "best.tid", "best.distance")
 
 
+def near_lines(points: DataFrame, lines: DataFrame, most: float, cell: float = 50.0) -> DataFrame:
+    """pid, id, away and along (metres from the line's start) of every point (pid, px, py) and each segment of a line (id,
+    coords) within ``most`` of it. A segment stands in the cells that its box, widened by ``most``, meets; a point in its own."""
+    before = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = segments(lines, "id").withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0.0)))
+    span = lambda c: F.explode(F.sequence(F.floor((F.least(f"a.{c}", f"b.{c}") - most) / cell), F.floor((F.greatest(f"a.{c}", f"b.{c}") + most) / cell)))
+    there = parts.select("id", "a", "b", "start", span("x").alias("cx")).select("*", span("y").alias("cy"))
+    asked = points.select("pid", "px", "py", F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy"))
+    away, along = point_segment(F.col("px"), F.col("py"), F.col("a"), F.col("b"))
+    return asked.join(there, ["cx", "cy"]).select("pid", "id", away.alias("away"), (F.col("start") + along).alias("along")).where(F.col("away") <= most)
+
+
 def point_segment(px: Column, py: Column, a: Column, b: Column) -> tuple[Column, Column]:
     """(distance, metres along the segment) of the point of a segment nearest to (px, py)."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -171,6 +172,8 @@ def rule_flood() -> Column:
 
 #: A model gets an array (channels, tile, tile) and gives class probabilities (classes, tile, tile).
 Model = Callable[[np.ndarray], np.ndarray]
+#: The model that this worker holds.
+_MODELS: dict[str, Model] = {}
 
 
 def tile_starts(size: int, tile: int, overlap: int) -> list[int]:
@@ -184,15 +187,19 @@ def tile_starts(size: int, tile: int, overlap: int) -> list[int]:
 def predict_tiles(pixels: DataFrame, channels: list[str], width: int, height: int, load: Callable[[], Model], tile: int = 512, overlap: int = 64, flip: bool = True) -> DataFrame:
     """Class probabilities of every pixel by sliding tiles, blended by tent weights.
 
-    A tile's pixels meet in one task; a model is loaded once in a worker. ``load`` must be picklable.
+    A tile's pixels meet in one task. A worker loads a model once and keeps it for its other tiles. ``load`` must be picklable.
     """
+    name_of_model = f"{load.__module__}.{load.__qualname__}-{uuid.uuid4().hex}"
     starts = lambda n: F.array(*[F.lit(s) for s in tile_starts(n, tile, overlap)])
     inside = lambda name, n: F.filter(starts(n), lambda s: (s <= F.col(name)) & (F.col(name) < s + tile))
     spread = pixels.select("x", "y", *channels, F.explode(inside("x", width)).alias("tx"), inside("y", height).alias("tys")).select("x", "y", *channels, "tx", F.explode("tys").alias("ty"))
     names = list(channels)
 
     def run(key, frame):
-        model = load()
+        if name_of_model not in _MODELS:
+            _MODELS.clear()
+            _MODELS[name_of_model] = load()
+        model = _MODELS[name_of_model]
         block = np.zeros((len(names), tile, tile), np.float32)
         xs, ys = frame["x"].to_numpy() - key[0], frame["y"].to_numpy() - key[1]
         for k, name in enumerate(names):

@@ -46,7 +46,7 @@ def assess_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
     buildings = s.select("id", F.array(corner(0, 0), corner(12, 0), corner(12, 9), corner(0, 9), corner(0, 0)).alias("ring"), (F.col("x0") + 6).alias("cx"), (F.col("y0") + 4.5).alias("cy"))
     points = s.select("id", F.col("x0").alias("px"), F.col("y0").alias("py"))
-    roads = q_vector.all_road_lines(spark, sf_dir).select("id", "part", F.transform("coords", lambda p: F.struct(p["x"].alias("x"), (p["y"] - 1000 + top).alias("y"))).alias("coords"))
+    roads = q_vector.road_lines(spark, sf_dir).select("id", "part", F.transform("coords", lambda p: F.struct(p["x"].alias("x"), (p["y"] - 1000 + top).alias("y"))).alias("coords"))
     bridges = roads.select("id", F.slice("coords", 1, 2).alias("coords"))
     return analysis.assess(classes, grid, buildings, roads, bridges, points, points)["stats"]
 
@@ -79,7 +79,7 @@ def flow_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's channels, and the rule on them."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*[F.avg(c).alias(c) for c in ("l_tax", "l_discount", "l_quantity")], F.avg("l_extendedprice").alias("price"))
-    made = analysis.feature_stack(F.col("l_tax"), F.col("l_discount") / 40, F.col("l_quantity") / 50, F.col("l_discount"), F.col("l_quantity"), F.col("price") / 500)
+    made = analysis.feature_stack(F.col("l_tax"), F.col("l_discount") / 40, F.col("l_quantity") / 50, F.col("l_discount"), F.col("l_quantity") * 0.37171, F.col("price") / 500)
     channels = li.select("l_partkey", *[c.alias(n) for n, c in made.items()])
     return channels.select("l_partkey", *[F.round(n, 5).alias(n) for n in made], analysis.rule_flood().alias("rule"))
 
@@ -87,7 +87,7 @@ def feature_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (detect_scene, assess_scene, access_scene, flow_path, feature_stack)}
 
 SQL = {
-    "feature_stack": """WITH a AS (SELECT l_partkey, avg(l_tax) AS a, avg(l_discount) / 40 AS b, avg(l_quantity) / 50 AS c, avg(l_discount) AS d, avg(l_quantity) AS s, avg(l_extendedprice) / 500 AS r FROM lineitem GROUP BY l_partkey),
+    "feature_stack": """WITH a AS (SELECT l_partkey, avg(l_tax) AS a, avg(l_discount) / 40 AS b, avg(l_quantity) / 50 AS c, avg(l_discount) AS d, avg(l_quantity) * 0.37171::DOUBLE AS s, avg(l_extendedprice) / 500 AS r FROM lineitem GROUP BY l_partkey),
 k AS (SELECT l_partkey, 10 * log10(greatest(a, 1e-5)) AS pv, 10 * log10(greatest(b, 1e-5)) AS ph, 10 * log10(greatest(c, 1e-5)) AS qv, 10 * log10(greatest(d, 1e-5)) AS qh, s, r FROM a)
 SELECT l_partkey, round((pv + 15) / 6, 5) AS post_vv, round((ph + 22) / 6, 5) AS post_vh, round((qv + 15) / 6, 5) AS pre_vv, round((qh + 22) / 6, 5) AS pre_vh, round((pv - qv) / 3, 5) AS d_vv, round((ph - qh) / 3, 5) AS d_vh,
 round(s / 20, 5) AS slope, round(greatest(0, least(4, r / 40)), 5) AS rel, CASE WHEN pv <= -15 AND ph <= -22 AND (pv - qv <= -3 OR ph - qh <= -3) THEN 2 ELSE 0 END AS rule FROM k""",

@@ -193,7 +193,7 @@ def depression_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("z"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
     return v.select("vec_id", S.argmax("z").alias("cls"), F.round(F.get(S.softmax("z"), F.lit(0)), 6).alias("p0"))
 
 
@@ -337,8 +337,8 @@ SELECT a.x, a.y, a.dem - z.dem AS hand FROM g a LEFT JOIN down d ON d.ax = a.x A
     "d8_walk": _FLOW
     + """, walk(id, step, x, y) AS (SELECT x, 0, x, y FROM g WHERE y = 4 AND x % 8 = 3 UNION ALL SELECT w.id, w.step + 1, f.nx, f.ny FROM walk w JOIN flow f ON f.x = w.x AND f.y = w.y WHERE f.code <> 0)
 SELECT id, CAST(step AS BIGINT) AS step, x, y FROM walk""",
-    "softmax_argmax": """WITH z AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)
-SELECT vec_id, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS INTEGER) AS cls, round(exp(a) / (exp(a) + exp(b) + exp(c)), 6) AS p0 FROM z""",
+    "softmax_argmax": """WITH z AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings)
+SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS cls, round(exp(z[1] - list_max(z)) / list_sum(list_transform(z, lambda v: exp(v - list_max(z)))), 6) AS p0 FROM z""",
     "overlap_blend": _GRID
     + """, t AS (SELECT x, y, size, t0, least(least(x - t0 + 1, 16 - x + t0) / 2.0::DOUBLE, 1.0::DOUBLE) AS w FROM g, (VALUES (0), (12), (24)) v(t0) WHERE x BETWEEN t0 AND t0 + 15)
 SELECT x, y, round(sum((size + t0) / 100 * w) / greatest(sum(w), 1e-6), 6) AS p FROM t GROUP BY x, y""",

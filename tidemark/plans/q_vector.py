@@ -26,7 +26,7 @@ def layer_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     pick = lambda values, m: F.get(F.array(*[F.lit(v) for v in values]), (k % m).cast("int"))
     tags = {
-        "highway": pick(["primary", "track", "path", "service", None, None, None], 7), "waterway": pick(["river", "riverbank", "drain", None, None], 5),
+        "highway": pick(["primary", "track", "path", "service", "unclassified", "road", None], 7), "waterway": pick(["river", "riverbank", "drain", None, None], 5),
         "place": pick(["town", "village", "city", None], 4), "bridge": pick(["yes", "no", None], 3), "amenity": pick(["hospital", "school", None, None, None, None], 6),
         "building": pick(["house", None, None, None, None, None, None, None], 8),
     }
@@ -106,7 +106,7 @@ def polygon_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zonal.polygon_pixels(rings, GRID).groupBy("id").agg(F.count("*").alias("n_cells"))
 
 
-def all_road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-vertex lines between places made of the orders' keys, one for every order."""
     k = F.col("o_orderkey")
     at = lambda a, b: F.struct((k * a % 390 + 0.31).alias("x"), (1000.17 - k * b % 180).alias("y"))
@@ -114,11 +114,6 @@ def all_road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("id"), F.lit(0).alias("part"), highway.alias("highway"), F.array(at(7, 11), at(13, 17), at(19, 23)).alias("coords"))
 
 
-def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those of the lines that the SQL of the road queries takes."""
-    return all_road_lines(spark, sf_dir).where("id < 400")
-
-
 def road_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     roads, mask = road_lines(spark, sf_dir), affected(spark, sf_dir)
     near = mask.union(mask.select((F.col("x") + 1).alias("x"), "y"))
@@ -159,22 +154,19 @@ def nearest_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_line_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of suppliers' places from the nearest of eight lines, and where along it."""
-    parts = zonal.segments(road_lines(spark, sf_dir).where("id < 8"), "id")
-    w = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("start", F.coalesce(F.sum("length").over(w), F.lit(0.0)))
+    """The line nearest to each supplier's place within 5 m, how far it is, and where along it. Equal lines are one."""
+    lines = road_lines(spark, sf_dir).groupBy("coords").agg(F.min("id").alias("id"))
     p = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 31 % 390 * 1.0).alias("px"), (1000 - F.col("s_suppkey") * 41 % 180 * 1.0).alias("py"))
-    away, along = zonal.point_segment(F.col("px"), F.col("py"), F.col("a"), F.col("b"))
-    met = p.join(F.broadcast(parts)).select("s_suppkey", "id", away.alias("away"), (F.col("start") + along).alias("along"))
-    best = met.groupBy("s_suppkey").agg(F.min("away").alias("away"))
-    return best.select("s_suppkey", F.round("away", 5).alias("away"))
+    met = zonal.near_lines(p.withColumnRenamed("s_suppkey", "pid"), lines, 5.0)
+    best = met.groupBy("pid").agg(F.min(F.struct(F.round("away", 5).alias("away"), "id", F.round("along", 3).alias("along"))).alias("b"))
+    return best.select(F.col("pid").alias("s_suppkey"), "b.away", "b.id", "b.along")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part and supplier nodes; an edge takes the least quantity of its line items as minutes, and is cut if any was returned."""
-    li = table(spark, sf_dir, "lineitem").where("l_partkey < 2000")
+    li = table(spark, sf_dir, "lineitem")
     pairs = li.groupBy("l_partkey", "l_suppkey").agg(F.min("l_quantity").alias("minutes"), F.bool_or(F.col("l_returnflag") == "R").alias("cut"), F.count("*").alias("n"))
-    return pairs.where("l_suppkey % 5 = l_partkey % 5").select(F.concat(F.lit("p"), "l_partkey").alias("u"), F.concat(F.lit("s"), "l_suppkey").alias("v"), "minutes", "cut")
+    return pairs.select(F.concat(F.lit("p"), "l_partkey").alias("u"), F.concat(F.lit("s"), "l_suppkey").alias("v"), "minutes", "cut")
 
 
 def shortest_path_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +174,7 @@ def shortest_path_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     graphs = e.select(F.lit("before").alias("scenario"), "u", "v", "minutes").union(e.where("not cut").select(F.lit("after"), "u", "v", "minutes"))
     names = F.explode(F.array(F.lit("before"), F.lit("after"))).alias("scenario")
-    sources = table(spark, sf_dir, "supplier").where("s_suppkey < 3").select(names, F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    sources = table(spark, sf_dir, "supplier").where("s_nationkey = 7").select(names, F.concat(F.lit("s"), "s_suppkey").alias("node"))
     return network.shortest_times(graphs, sources, ("scenario",)).where("node like 'p%'")
 
 
@@ -209,14 +201,16 @@ def access_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places to UTM metres and back: the error in degrees."""
+    """Places to UTM and Web Mercator metres, and from UTM back: the error in degrees."""
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select(k, (k % 6 * 0.9 + 84.2).alias("lon"), (k % 160 - 80.0).alias("lat"))
     zone, south = S.utm_zone(F.col("lon")), F.col("lat") < 0
     e, n = S.to_utm(F.col("lon"), F.col("lat"), zone, south)
     there = c.select("c_custkey", "lon", "lat", zone.alias("zone"), south.alias("south"), e.alias("e"), n.alias("n"))
     lon, lat = S.from_utm(F.col("e"), F.col("n"), F.col("zone"), F.col("south"))
-    return there.select("c_custkey", S.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), F.round(F.abs(lon - F.col("lon")), 6).alias("d_lon"), F.round(F.abs(lat - F.col("lat")), 6).alias("d_lat"))
+    mx, my = S.web_mercator(F.col("lon"), F.col("lat"))
+    metres = {"east_10m": F.round(F.col("e") / 10), "north_10m": F.round(F.col("n") / 10), "mercator_x": F.round(mx, 2), "mercator_y": F.round(my, 2)}
+    return there.select("c_custkey", *[c.alias(n) for n, c in metres.items()], S.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), F.round(F.abs(lon - F.col("lon")), 6).alias("d_lon"), F.round(F.abs(lat - F.col("lat")), 6).alias("d_lat"))
 
 
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +241,7 @@ def topk_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     plain = F.element_at(F.split("url", "[?]"), 1)
-    return pages.select("page_id", S.cache_key(plain, F.col("page_id")).alias("key"), S.html_escape(F.substring("html", 1, 60)).alias("escaped"))
+    return pages.select("page_id", S.cache_key(plain, F.col("page_id")).alias("key"), F.md5(S.html_escape(F.col("html"))).alias("escaped_md5"), F.length(S.html_escape(F.col("html"))).cast("long").alias("escaped_chars"))
 
 
 def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +269,7 @@ QUERIES = {
 _MASK = "m AS (SELECT p_partkey % 40 AS x, p_partkey // 40 AS y FROM part WHERE p_size <= 18)"
 _LINES = """l AS (SELECT o_orderkey AS id, [o_orderkey * 7 % 390 + 0.31::DOUBLE, o_orderkey * 13 % 390 + 0.31::DOUBLE, o_orderkey * 19 % 390 + 0.31::DOUBLE] AS xs,
 [1000.17::DOUBLE - o_orderkey * 11 % 180, 1000.17::DOUBLE - o_orderkey * 17 % 180, 1000.17::DOUBLE - o_orderkey * 23 % 180] AS ys,
-['primary', 'track', 'path', 'mystery'][o_orderkey % 4 + 1] AS highway FROM orders WHERE o_orderkey < 400),
+['primary', 'track', 'path', 'mystery'][o_orderkey % 4 + 1] AS highway FROM orders),
 seg AS (SELECT id, highway, seq, xs[seq] AS ax, ys[seq] AS ay, xs[seq + 1] AS qx, ys[seq + 1] AS qy, sqrt((xs[seq + 1] - xs[seq]) ** 2 + (ys[seq + 1] - ys[seq]) ** 2) AS length
 FROM l, (VALUES (1), (2)) s(seq))"""
 _ACCESS = """a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey * 7 % 120 END AS h0, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey * 13 % 120 END AS t0 FROM customer),
@@ -286,11 +280,11 @@ s AS (SELECT k, CASE WHEN k % 23 = 0 OR (h0 IS NULL AND t0 IS NULL) THEN 'no_map
  WHEN greatest(h1 / greatest(h0, 1.0::DOUBLE), t1 / greatest(t0, 1.0::DOUBLE)) >= 2 AND greatest(h1 - h0, t1 - t0) >= 30 THEN 'long_detour' ELSE 'connected' END AS status FROM b)"""
 
 SQL = {
-    "layer_classification": """WITH t AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS way, ['primary', 'track', 'path', 'service', NULL, NULL, NULL][p_partkey % 7 + 1] AS highway,
+    "layer_classification": """WITH t AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS way, ['primary', 'track', 'path', 'service', 'unclassified', 'road', NULL][p_partkey % 7 + 1] AS highway,
 ['river', 'riverbank', 'drain', NULL, NULL][p_partkey % 5 + 1] AS waterway, ['town', 'village', 'city', NULL][p_partkey % 4 + 1] AS place, ['yes', 'no', NULL][p_partkey % 3 + 1] AS bridge,
 ['hospital', 'school', NULL, NULL, NULL, NULL][p_partkey % 6 + 1] AS amenity, p_partkey % 8 = 0 AS building FROM part),
-u AS (SELECT 'waterways' AS layer, k FROM t WHERE way AND waterway = 'river' UNION ALL SELECT 'water', k FROM t WHERE way AND waterway = 'riverbank' UNION ALL SELECT 'buildings', k FROM t WHERE way AND building
-UNION ALL SELECT 'roads', k FROM t WHERE way AND highway IS NOT NULL UNION ALL SELECT 'roads_major', k FROM t WHERE way AND highway = 'primary' UNION ALL SELECT 'bridges', k FROM t WHERE way AND bridge = 'yes'
+u AS (SELECT 'waterways' AS layer, k FROM t WHERE way AND waterway IN ('river', 'stream', 'canal', 'drain') UNION ALL SELECT 'water', k FROM t WHERE way AND waterway = 'riverbank' UNION ALL SELECT 'buildings', k FROM t WHERE way AND building
+UNION ALL SELECT 'roads', k FROM t WHERE way AND highway IS NOT NULL UNION ALL SELECT 'roads_major', k FROM t WHERE way AND highway IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'unclassified', 'road') UNION ALL SELECT 'bridges', k FROM t WHERE way AND bridge = 'yes'
 UNION ALL SELECT 'places', k FROM t WHERE NOT way AND place IS NOT NULL UNION ALL SELECT 'towns', k FROM t WHERE NOT way AND place IN ('town', 'city') UNION ALL SELECT 'health', k FROM t WHERE amenity = 'hospital')
 SELECT layer, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM u GROUP BY layer""",
     "tag_whitelist_json": "SELECT event_id, event_type AS name, 1 AS n_tags, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
@@ -338,13 +332,15 @@ SELECT o_orderkey, round(sum(step) OVER (PARTITION BY o_custkey ORDER BY o_order
     "nearest_snap": """WITH q AS (SELECT o_orderkey AS qid, o_orderkey * 17 % 3001 AS x, o_orderkey * 29 % 2003 AS y FROM orders), t AS (SELECT s_suppkey AS tid, s_suppkey * 211 % 3001 AS x, s_suppkey * 307 % 2003 AS y FROM supplier),
 d AS (SELECT qid, tid, sqrt((q.x - t.x) ** 2 + (q.y - t.y) ** 2) AS distance FROM q, t)
 SELECT qid, tid, round(distance, 5) AS distance FROM d WHERE distance <= 300 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, tid) = 1""",
-    "point_line_distance": f"""WITH {_LINES}, p AS (SELECT s_suppkey, s_suppkey * 31 % 390 AS x, 1000 - s_suppkey * 41 % 180 AS y FROM supplier),
-d AS (SELECT s_suppkey, x, y, ax, ay, qx, qy, CASE WHEN length > 0 THEN greatest(0, least(1, ((x - ax) * (qx - ax) + (y - ay) * (qy - ay)) / (length * length))) ELSE 0 END AS t FROM p, seg WHERE id < 8)
-SELECT s_suppkey, round(min(sqrt((x - ax - t * (qx - ax)) ** 2 + (y - ay - t * (qy - ay)) ** 2)), 5) AS away FROM d GROUP BY s_suppkey""",
-    "shortest_path_before_after": """WITH RECURSIVE e AS (SELECT l_partkey AS p, l_suppkey AS s, min(l_quantity) AS minutes, bool_or(l_returnflag = 'R') AS cut FROM lineitem WHERE l_partkey < 2000 AND l_suppkey % 5 = l_partkey % 5 GROUP BY ALL),
+    "point_line_distance": f"""WITH {_LINES}, u AS (SELECT min(id) AS id FROM l GROUP BY xs, ys), p AS (SELECT s_suppkey, s_suppkey * 31 % 390 AS x, 1000 - s_suppkey * 41 % 180 AS y FROM supplier),
+d AS (SELECT s_suppkey, id, x, y, ax, ay, qx, qy, length, coalesce(sum(length) OVER (PARTITION BY s_suppkey, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+CASE WHEN length > 0 THEN greatest(0, least(1, ((x - ax) * (qx - ax) + (y - ay) * (qy - ay)) / (length * length))) ELSE 0 END AS t FROM p, seg WHERE id IN (SELECT id FROM u)),
+e AS (SELECT s_suppkey, id, sqrt((x - ax - t * (qx - ax)) ** 2 + (y - ay - t * (qy - ay)) ** 2) AS away, round(start + t * length, 3) AS along FROM d)
+SELECT s_suppkey, round(away, 5) AS away, id, along FROM e WHERE away <= 5 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY round(away, 5), id, along) = 1""",
+    "shortest_path_before_after": """WITH RECURSIVE e AS (SELECT l_partkey AS p, l_suppkey AS s, min(l_quantity) AS minutes, bool_or(l_returnflag = 'R') AS cut FROM lineitem GROUP BY ALL),
 g AS (SELECT 'before' AS scenario, 'p' || p AS a, 's' || s AS b, minutes FROM e UNION ALL SELECT 'after', 'p' || p, 's' || s, minutes FROM e WHERE NOT cut),
 u AS MATERIALIZED (SELECT scenario, a, b, minutes FROM g UNION ALL SELECT scenario, b, a, minutes FROM g),
-t(scenario, node, time) USING KEY (scenario, node) AS (SELECT scenario, 's' || s_suppkey, 0.0::DOUBLE FROM supplier, (VALUES ('before'), ('after')) v(scenario) WHERE s_suppkey < 3
+t(scenario, node, time) USING KEY (scenario, node) AS (SELECT scenario, 's' || s_suppkey, 0.0::DOUBLE FROM supplier, (VALUES ('before'), ('after')) v(scenario) WHERE s_nationkey = 7
 UNION SELECT u.scenario, u.b, min(t.time + u.minutes) FROM t JOIN u ON u.scenario = t.scenario AND u.a = t.node LEFT JOIN recurring.t o ON o.scenario = u.scenario AND o.node = u.b
 WHERE o.time IS NULL OR t.time + u.minutes < o.time GROUP BY u.scenario, u.b)
 SELECT scenario, node, time FROM t WHERE node LIKE 'p%'""",
@@ -354,15 +350,23 @@ SELECT id AS road, count(*) AS n, round(sum(minutes), 5) AS minutes FROM k GROUP
     "access_status": f"WITH {_ACCESS} SELECT k AS c_custkey, status FROM s",
     "access_counters": f"""WITH {_ACCESS} SELECT count(*) FILTER (status = 'cut_off') AS cut_off, count(*) FILTER (status = 'possibly_cut_off') AS possibly_cut_off, count(*) FILTER (status = 'long_detour') AS long_detour,
 count(*) FILTER (status = 'connected') AS connected, count(*) FILTER (status = 'no_mapped_road') AS no_mapped_road, count(*) FILTER (status = 'cut_off' AND k % 2 = 0) AS foot_only, count(*) AS settlements FROM s""",
-    "utm_round_trip": """SELECT c_custkey, CAST(CASE WHEN c_custkey % 160 >= 80 THEN 32600 ELSE 32700 END + floor((c_custkey % 6 * 0.9 + 264.2) / 6) + 1 AS INTEGER) AS epsg, 0.0::DOUBLE AS d_lon, 0.0::DOUBLE AS d_lat FROM customer""",
+    # By the truncated power series of the meridian arc, which is another way than that of the query.
+    "utm_round_trip": """WITH c AS (SELECT c_custkey, c_custkey % 6 * 0.9 + 84.2::DOUBLE AS lon, c_custkey % 160 - 80.0::DOUBLE AS lat, 6378137.0::DOUBLE AS a, 1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE) AS e2 FROM customer),
+d AS (SELECT *, radians(lat) AS phi, floor((lon + 180) / 6) + 1 AS zone, e2 / (1 - e2) AS ep2 FROM c),
+g AS (SELECT *, a / sqrt(1 - e2 * sin(phi) ** 2) AS n, tan(phi) ** 2 AS t, ep2 * cos(phi) ** 2 AS k, radians(lon - (zone * 6 - 183)) * cos(phi) AS w,
+a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * phi - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * phi) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * phi) - 35 * e2 ** 3 / 3072 * sin(6 * phi)) AS m FROM d),
+u AS (SELECT *, 0.9996::DOUBLE * n * (w + (1 - t + k) * w ** 3 / 6 + (5 - 18 * t + t * t + 72 * k - 58 * ep2) * w ** 5 / 120) + 500000 AS east,
+0.9996::DOUBLE * (m + n * tan(phi) * (w ** 2 / 2 + (5 - t + 9 * k + 4 * k * k) * w ** 4 / 24 + (61 - 58 * t + t * t + 600 * k - 330 * ep2) * w ** 6 / 720)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END AS north FROM g)
+SELECT c_custkey, round(east / 10) AS east_10m, round(north / 10) AS north_10m, round(radians(lon) * a, 2) AS mercator_x, round(ln(tan(pi() / 4 + phi / 2)) * a, 2) AS mercator_y,
+CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone AS INTEGER) AS epsg, 0.0::DOUBLE AS d_lon, 0.0::DOUBLE AS d_lat FROM u""",
     "request_validation": """WITH b AS (SELECT o_orderkey, o_orderkey % 300 - 150.0::DOUBLE AS w, o_orderkey % 170 - 85.0::DOUBLE AS s, (o_orderkey * 7 % 40 - 2) / 100.0::DOUBLE AS dx, (o_orderkey * 3 % 50 - 1) / 100.0::DOUBLE AS dy FROM orders),
 c AS (SELECT *, w + dx AS e, s + dy AS n FROM b), d AS (SELECT *, abs(e - w) * 111.32::DOUBLE * cos(radians((s + n) / 2)) * abs(n - s) * 110.57::DOUBLE AS area FROM c)
 SELECT o_orderkey, round(area, 5) AS km2, CASE WHEN NOT (w >= -180 AND w < e AND e <= 180 AND s >= -85 AND s < n AND n <= 85) THEN 'order' WHEN area < 1 THEN 'small' WHEN area > 600 THEN 'large' ELSE 'ok' END AS verdict FROM d""",
     "place_score_argmin": """WITH c AS (SELECT c_nationkey, c_custkey, round(sqrt(((c_custkey * 13 % 100 / 100.0::DOUBLE + 85 - 85.5::DOUBLE) * 111.32::DOUBLE * cos(radians(27.5::DOUBLE))) ** 2 + ((c_custkey * 29 % 100 / 100.0::DOUBLE + 27 - 27.5::DOUBLE) * 110.57::DOUBLE) ** 2) + 4 * (c_custkey % 9), 6) AS score FROM customer)
 SELECT c_nationkey, c_custkey, score FROM c QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY score, c_custkey) = 1""",
     "topk_lists": "SELECT c_custkey, coalesce(nullif(c_custkey * 37 % 101, 0), 999) AS minutes FROM customer ORDER BY minutes, c_custkey LIMIT 10",
-    "cache_keys": """SELECT page_id, left(sha1(string_split(url, '?')[1] || '|' || page_id), 24) AS key,
-replace(replace(replace(replace(replace(substr(html, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""",
+    "cache_keys": """WITH e AS (SELECT *, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages)
+SELECT page_id, left(sha1(string_split(url, '?')[1] || '|' || page_id), 24) AS key, md5(escaped) AS escaped_md5, length(escaped) AS escaped_chars FROM e""",
     "set_algebra": """WITH a AS (SELECT doc_id FROM labels), b AS (SELECT doc_id FROM documents WHERE lang = 'en')
 SELECT 'only_labels' AS name, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS total FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'both', count(*), CAST(sum(doc_id) AS BIGINT) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
 UNION ALL SELECT 'either', count(*), CAST(sum(doc_id) AS BIGINT) FROM (SELECT * FROM a UNION SELECT * FROM b)""",

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.metrics import running_total
+
 #: Fixed allowances: (requests, seconds).
 RUN_RULES = ((3, 3600), (10, 86400))
 FLOW_RULES = ((8, 3600),)
@@ -36,7 +38,8 @@ def limit_batch(requests: DataFrame, rules: tuple[tuple[int, int], ...] = RUN_RU
     """Exact admission of a table of requests (id, visitor, at: seconds), a fold per visitor; no visitor is never limited.
 
     A visitor's requests are split into sessions by gaps longer than every window: history never reaches
-    over such a gap, so a busy visitor is many groups.
+    over such a gap. Inside a session each verdict hangs on those before it, so a session is folded by one
+    task; a visitor who never pauses for the longest window is one session.
     """
     longest = max(window for _, window in rules)
     w = Window.partitionBy("visitor").orderBy("at", "id")
@@ -89,10 +92,11 @@ def tumbling_counts(events: DataFrame, time: str, by: str, window: str = "1 day"
 
 
 def queue_places(jobs: DataFrame) -> DataFrame:
-    """Unfinished jobs ahead of each: jobs run one at a time, in order of arrival. One short list: what waits, not what is done."""
-    waiting = F.col("state").isin("queued", "running")
-    order = Window.orderBy("created", "id")
-    return jobs.where(waiting).select("id", "state", (F.row_number().over(order) - 1).cast("long").alias("ahead"))
+    """Unfinished jobs ahead of each: jobs run one at a time, in order of arrival and of id. Counts go over ranges of arrival times."""
+    waiting = jobs.where(F.col("state").isin("queued", "running")).select("id", "state", F.col("created").cast("timestamp").cast("double").alias("at"))
+    before = running_total(waiting.groupBy("at").agg(F.count("*").alias("n")), "at", "n").select("at", "before")
+    place = F.row_number().over(Window.partitionBy("at").orderBy("id")) - 1
+    return waiting.join(before, "at").select("id", "state", (F.col("before") + place).cast("long").alias("ahead"))
 
 
 def latest_progress(log: DataFrame) -> DataFrame:
