@@ -145,6 +145,7 @@ def reply_order(links: DataFrame, counts: DataFrame) -> DataFrame:
                 (F.col("rows") + F.coalesce("far_rows", F.lit(0))).alias("rows"), (F.col("down") + F.coalesce("far_down", F.lit(0))).alias("down"), F.coalesce("far_top", "top").alias("top"),
             ),
             "events",
+            state,
         )
     ranked = state.where("leaves = 0").select("conv_id", "turn", "top", F.col("rows").alias("rest"), (-F.col("down")).alias("depth"))
     sizes = ranked.where("turn = top").select("conv_id", "top", F.col("rest").alias("size"))
