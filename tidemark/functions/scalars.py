@@ -103,6 +103,11 @@ def display_name(name_en: Column, name: Column) -> Column:
     return F.coalesce(F.nullif(name_en, F.lit("")), F.nullif(name, F.lit("")))
 
 
+def visitor(token: Column, secret: str, client: Column, edge: Column) -> Column:
+    """Who asks: the client that a trusted edge names, else the edge's own header; NULL, who is never limited, without either."""
+    return F.coalesce(F.when((token == secret) & F.lit(bool(secret)), F.nullif(client, F.lit(""))), F.nullif(edge, F.lit("")))
+
+
 def html_escape(text: Column) -> Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))
     for plain, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

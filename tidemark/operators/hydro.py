@@ -107,6 +107,24 @@ def height_above_drainage(flow: DataFrame, stream: DataFrame, heights: DataFrame
     return down.select("cell", F.when(hand >= -1000, hand).alias("hand"))
 
 
+def terrain(pixels: DataFrame, minor_cells: float, major_cells: float) -> DataFrame:
+    """x, y, acc, hand and hand_major of a pixel table (x, y, dem, and the mapped rivers minor and major).
+
+    Mapped rivers are burned into the heights that flow follows and always count as streams; so does what drains
+    enough cells. Heights above them are taken from the heights as they were. Pits are filled before, by windows.
+    """
+    cell = F.col("y").cast("long") * (1 << 32) + F.col("x")
+    flow = materialise(flow_direction(burn(pixels), "burned"), "flow")
+    acc = accumulation(flow)
+    known = materialise(pixels.select(cell.alias("cell"), "x", "y", "dem", "minor", "major").join(acc, "cell"), "terrain")
+    heights = known.select("cell", "dem")
+    out = known.select("cell", "x", "y", "acc")
+    for name, mapped, least in (("hand", "minor", minor_cells), ("hand_major", "major", major_cells)):
+        stream = known.where(F.coalesce(F.col(mapped), F.lit(False)) | (F.col("acc") >= least)).select("cell")
+        out = out.join(height_above_drainage(flow, stream, heights).withColumnRenamed("hand", name), "cell", "left")
+    return out.drop("cell")
+
+
 def walk(flow: DataFrame, starts: DataFrame, most_steps: int) -> DataFrame:
     """id, step and cell of the paths from ``starts`` (id, cell), until flow ends or ``most_steps`` cells.
 

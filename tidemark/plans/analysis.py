@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +18,7 @@ from tidemark.functions.grid import GridSpec
 from tidemark.operators import evidence as E
 from tidemark.operators import focal, hydro, morphology, network, zonal
 from tidemark.session import materialise
-from tidemark.sources.files import write_bundle
+from tidemark.sources.files import write_bundle, write_text
 
 
 def detect(pixels: DataFrame, tracks: DataFrame, grid: GridSpec, r: E.Rules = E.Rules(), complete: bool = True) -> DataFrame:
@@ -257,8 +260,53 @@ def report_html(title: str, stats: dict, lists: dict[str, DataFrame]) -> str:
     return "<!doctype html><meta charset=utf-8>" + "".join(parts)
 
 
-def save(layers: dict[str, DataFrame], folder: str) -> None:
-    write_bundle(layers, folder)
+def analyse(
+    pixels: DataFrame, tracks: DataFrame, grid: GridSpec, buildings: DataFrame, roads: DataFrame, bridges: DataFrame, health: DataFrame, places: DataFrame, targets: DataFrame
+) -> dict[str, DataFrame]:
+    """Detector, damage and access of an area, the report's lists and one row of figures.
+
+    Features are as in ``assess``; roads have highway, bridge, name and ref besides, and are known by their id to
+    ``access``; places (id, name, px, py) are the settlements; targets: target, tid, px, py.
+    """
+    classes = materialise(detect(pixels, tracks, grid), "classes")
+    damage = assess(classes, grid, buildings, roads, bridges, health, places)
+    status = lambda df: df.select(F.col("id").alias("osm_id"), "status")
+    ways = roads.select(F.col("id").alias("road"), F.col("id").alias("osm_id"), "highway", "bridge", "name", "coords")
+    reached = access(ways, status(damage["roads"]), status(damage["bridges"]), targets, places.select(F.col("id").alias("sid"), "px", "py"))
+    lists = report_lists(reached["settlements"], places.select(F.col("id").alias("sid"), "name"), damage["stretches"], roads.select("id", "name", "ref", "highway"))
+    kinds = ["radar_change", "radar_water", "optical_change", "optical_water", "model_water", "terrain_completed"]
+    areas = E.evidence_areas(classes, kinds, grid.res * grid.res).groupBy().pivot("evidence", kinds).agg(F.bround(F.first("km2"), 2))
+    stats = damage["stats"].crossJoin(reached["stats"].select(*[F.col(c).alias(f"access_{c}") for c in reached["stats"].columns]))  # one row each
+    stats = stats.crossJoin(areas.select(*[F.col(c).alias(f"{c}_km2") for c in kinds]))
+    affected = damage["buildings"].where(F.col("status") != zonal.OUTSIDE)
+    layers = {"classes": classes, "buildings_affected": affected, "settlements": reached["settlements"], "cut_roads": reached["cut_edges"]}
+    return layers | {n: damage[n] for n in ("buildings", "roads", "stretches", "bridges", "health", "places")} | lists | {"stats": stats}
+
+
+def execute(spark: SparkSession, folder: str, name: str, box: tuple[float, float, float, float], date: str, progress: Callable[[str, float], None] | None = None, **scene) -> dict:
+    """An analysis (see ``analyse``) written as a bundle: layers, report, steps and, last, the metadata that marks it as done."""
+    began, steps = time.time(), []
+
+    def say(message: str, share: float) -> None:
+        steps.append({"t": round(time.time() - began, 1), "msg": message})
+        if progress:
+            progress(message, share)
+
+    say("Detector, damage and access", 0.05)
+    out = analyse(**scene)
+    stats = out.pop("stats").first().asDict()
+    say(f"{stats['affected_km2']} km2 affected, {stats['buildings_hit']} buildings hit, {stats['access_cut_off']} settlements cut off", 0.9)
+    lists = {k: out.pop(k) for k in ("cut_off", "blocked")}
+    write_bundle(out, f"{folder}/layers")
+    say("Writing the situation report", 0.97)
+    write_text(spark, f"{folder}/sitrep.html", report_html(name, stats, lists))
+    write_text(spark, f"{folder}/stats.json", json.dumps(stats))
+    write_text(spark, f"{folder}/steps.json", json.dumps(steps))
+    made = datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
+    meta = {"id": folder.rstrip("/").rpartition("/")[2], "name": name, "bbox": list(box), "date": date, "created": made, "seconds": round(time.time() - began, 1), "model": None}
+    write_text(spark, f"{folder}/meta.json", json.dumps(meta))
+    say("Done", 1.0)
+    return meta | {"stats": stats}
 
 
 def pixels_of(arrays: dict[str, np.ndarray], spark: SparkSession) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import q_analysis, q_metrics, q_raster, q_timeseries, q_vector
+from tidemark.plans import q_analysis, q_metrics, q_raster, q_report, q_timeseries, q_vector
 
-MODULES = (q_timeseries, q_raster, q_vector, q_metrics, q_analysis)
+MODULES = (q_timeseries, q_raster, q_vector, q_metrics, q_report, q_analysis)
 
 
 def queries() -> dict:

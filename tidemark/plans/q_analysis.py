@@ -36,19 +36,47 @@ def detect_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.detect(*scene(spark, sf_dir))
 
 
-def assess_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the damage assessment over the detector's classes."""
-    part, height = q_raster.part_grid(spark, sf_dir)
-    classes = materialise(part.select("x", "y", F.when(F.abs(F.col("x") - 20) <= 3, 1).when(F.col("size") <= 4, 2).otherwise(0).alias("cls")), "classes")
-    grid = grid_of(height)
-    top = grid.top
+def features_on(spark: SparkSession, sf_dir: str, top: float) -> dict[str, DataFrame]:
+    """Suppliers as buildings and health places, orders as roads and their first legs as bridges."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 380 + 0.3).alias("x0"), (top - 22.7 - F.col("s_suppkey") * 23 % int(top - 30)).alias("y0"))
     corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
     buildings = s.select("id", F.array(corner(0, 0), corner(12, 0), corner(12, 9), corner(0, 9), corner(0, 0)).alias("ring"), (F.col("x0") + 6).alias("cx"), (F.col("y0") + 4.5).alias("cy"))
     points = s.select("id", F.col("x0").alias("px"), F.col("y0").alias("py"))
     roads = q_vector.road_lines(spark, sf_dir).select("id", "part", F.transform("coords", lambda p: F.struct(p["x"].alias("x"), (p["y"] - 1000 + top).alias("y"))).alias("coords"))
     bridges = roads.select("id", F.slice("coords", 1, 2).alias("coords"))
-    return analysis.assess(classes, grid, buildings, roads, bridges, points, points)["stats"]
+    return {"buildings": buildings, "roads": roads, "bridges": bridges, "health": points}
+
+
+def assess_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the damage assessment over a valley of water and spots of debris."""
+    part, height = q_raster.part_grid(spark, sf_dir)
+    classes = materialise(part.select("x", "y", F.when(F.abs(F.col("x") - 20) <= 3, 1).when(F.col("size") <= 4, 2).otherwise(0).alias("cls")), "classes")
+    grid = grid_of(height)
+    f = features_on(spark, sf_dir, grid.top)
+    return analysis.assess(classes, grid, f["buildings"], f["roads"], f["bridges"], f["health"], f["health"])["stats"]
+
+
+def whole_scene(spark: SparkSession, sf_dir: str) -> dict:
+    """All that an analysis takes: the detector's scene with features on it, customers as settlements, hospitals and towns."""
+    pixels, tracks, grid = scene(spark, sf_dir)
+    f = features_on(spark, sf_dir, grid.top)
+    k = F.col("id")
+    roads = f["roads"].join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name")), "id")
+    roads = roads.select(
+        "id", "part", "coords", F.when(k % 5 == 0, "path").when(k % 3 == 0, "primary").otherwise("track").alias("highway"), F.when(k % 11 == 0, "yes").alias("bridge"),
+        F.when(k % 2 == 0, F.col("name")).alias("name"), F.when(k % 3 == 0, F.concat(F.lit("R"), (k % 7).cast("string"))).alias("ref"),
+    )
+    c = F.col("c_custkey")
+    places = table(spark, sf_dir, "customer").select(c.alias("id"), F.col("c_name").alias("name"), (c * 131 % 390 * 1.0).alias("px"), (grid.top - c * 77 % int(grid.top)).alias("py"))
+    s = table(spark, sf_dir, "supplier").where("s_nationkey % 5 = 2")
+    at = f["health"].withColumnRenamed("id", "tid")
+    targets = s.select(F.when(F.col("s_suppkey") % 2 == 0, "town").otherwise("hospital").alias("target"), F.col("s_suppkey").alias("tid")).join(at, "tid")
+    return {"pixels": pixels, "tracks": tracks, "grid": grid, **f, "roads": roads, "places": places, "targets": targets}
+
+
+def analysis_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of a whole analysis, end to end."""
+    return analysis.analyse(**whole_scene(spark, sf_dir))["stats"]
 
 
 def access_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +112,7 @@ def feature_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channels.select("l_partkey", *[F.round(n, 5).alias(n) for n in made], analysis.rule_flood().alias("rule"))
 
 
-QUERIES = {f.__name__: f for f in (detect_scene, assess_scene, access_scene, flow_path, feature_stack)}
+QUERIES = {f.__name__: f for f in (detect_scene, assess_scene, access_scene, flow_path, analysis_run, feature_stack)}
 
 SQL = {
     "feature_stack": """WITH a AS (SELECT l_partkey, avg(l_tax) AS a, avg(l_discount) / 40 AS b, avg(l_quantity) / 50 AS c, avg(l_discount) AS d, avg(l_quantity) * 0.37171::DOUBLE AS s, avg(l_extendedprice) / 500 AS r FROM lineitem GROUP BY l_partkey),

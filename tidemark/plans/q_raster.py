@@ -178,6 +178,13 @@ def hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return high.select((F.col("cell") % (1 << 32)).cast("int").alias("x"), F.floor(F.col("cell") / (1 << 32)).cast("int").alias("y"), "hand")
 
 
+def terrain_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights above the minor and the major streams, with mapped rivers burned in."""
+    grid, _ = part_grid(spark, sf_dir)
+    mapped = grid.select("x", "y", "dem", F.col("x").isin(8, 30).alias("minor"), (F.col("x") == 20).alias("major"))
+    return hydro.terrain(mapped, 4, 30)
+
+
 def d8_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid, directions = flow(spark, sf_dir)
     starts = grid.where("y = 4 and x % 8 = 3").select(F.col("x").alias("id"), (F.col("y").cast("long") * (1 << 32) + F.col("x")).alias("cell"))
@@ -223,7 +230,7 @@ QUERIES = {
     for f in (
         optical_evidence, terrain_gates, classify_pixels, evidence_areas, box_mean, lee_filter, min_filter, majority_vote, gradient_slope, bilinear_resample,
         max_resample, dilate, distance_to_river, channel, connected_components, blob_clean, corridor_filter, reach_levels, terrain_completion, d8_flow,
-        accumulation, hand, d8_walk, depression_fill, softmax_argmax, overlap_blend, colour_ramps,
+        accumulation, hand, terrain_streams, d8_walk, depression_fill, softmax_argmax, overlap_blend, colour_ramps,
     )
 }
 
@@ -334,6 +341,16 @@ SELECT x, y, count(*) AS acc FROM up GROUP BY x, y""",
     "hand": _FLOW
     + """, down(ax, ay, x, y) AS (SELECT x, y, x, y FROM g UNION ALL SELECT d.ax, d.ay, f.nx, f.ny FROM down d JOIN flow f ON f.x = d.x AND f.y = d.y WHERE f.code <> 0 AND d.y <> 0)
 SELECT a.x, a.y, a.dem - z.dem AS hand FROM g a LEFT JOIN down d ON d.ax = a.x AND d.ay = a.y AND d.y = 0 LEFT JOIN g z ON z.x = d.x AND z.y = d.y""",
+    "terrain_streams": _FLOW.replace(
+        "CAST(p_size + 60 * (p_partkey // 40) AS DOUBLE) AS dem",
+        "CAST(p_size + 60 * (p_partkey // 40) AS DOUBLE) AS raw, CAST(p_size + 60 * (p_partkey // 40) - CASE p_partkey % 40 WHEN 20 THEN 20 WHEN 8 THEN 10 WHEN 30 THEN 10 ELSE 0 END AS DOUBLE) AS dem",
+    )
+    + """, up(x, y, ax, ay) AS (SELECT x, y, x, y FROM g UNION ALL SELECT f.nx, f.ny, u.ax, u.ay FROM up u JOIN flow f ON f.x = u.x AND f.y = u.y WHERE f.code <> 0),
+st AS MATERIALIZED (SELECT g.x, g.y, raw, acc, acc >= 4 OR g.x IN (8, 30) AS minor, acc >= 30 OR g.x = 20 AS major FROM g JOIN (SELECT x, y, count(*) AS acc FROM up GROUP BY x, y) USING (x, y)),
+d1(ax, ay, x, y) AS (SELECT x, y, x, y FROM g UNION ALL SELECT d.ax, d.ay, f.nx, f.ny FROM d1 d JOIN st ON st.x = d.x AND st.y = d.y JOIN flow f ON f.x = d.x AND f.y = d.y WHERE f.code <> 0 AND NOT minor),
+d2(ax, ay, x, y) AS (SELECT x, y, x, y FROM g UNION ALL SELECT d.ax, d.ay, f.nx, f.ny FROM d2 d JOIN st ON st.x = d.x AND st.y = d.y JOIN flow f ON f.x = d.x AND f.y = d.y WHERE f.code <> 0 AND NOT major)
+SELECT st.x, st.y, st.acc, st.raw - a.low AS hand, st.raw - b.low AS hand_major FROM st LEFT JOIN (SELECT ax, ay, raw AS low FROM d1 JOIN st USING (x, y) WHERE minor) a ON a.ax = st.x AND a.ay = st.y
+LEFT JOIN (SELECT ax, ay, raw AS low FROM d2 JOIN st USING (x, y) WHERE major) b ON b.ax = st.x AND b.ay = st.y""",
     "d8_walk": _FLOW
     + """, walk(id, step, x, y) AS (SELECT x, 0, x, y FROM g WHERE y = 4 AND x % 8 = 3 UNION ALL SELECT w.id, w.step + 1, f.nx, f.ny FROM walk w JOIN flow f ON f.x = w.x AND f.y = w.y WHERE f.code <> 0)
 SELECT id, CAST(step AS BIGINT) AS step, x, y FROM walk""",

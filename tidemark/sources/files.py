@@ -59,6 +59,17 @@ def write_bundle(layers: dict[str, DataFrame], folder: str, most_rows: int = 1_0
         df.write.mode("overwrite").option("maxRecordsPerFile", most_rows).parquet(f"{folder}/{name}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any store that Spark writes to; it replaces one of that name."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
 def write_geojson_lines(df: DataFrame, geometry: Column, properties: list[str], path: str) -> None:
     geojson_features(df, geometry, properties).write.mode("overwrite").text(path)
 
