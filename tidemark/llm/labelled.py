@@ -25,6 +25,8 @@ PRIOR_ITEMS = 40
 SAMPLE_ROWS = 5000
 #: A word feature is learnt from if so many sampled texts have it.
 LEAST_TEXTS = 10
+#: Items of the sample that one sum takes at a time.
+ITEMS = 1 << 19
 #: A text's features: their numbers, ascending, and their means. However long the text, it has ``WORD_DIM + CHAR_DIM`` at most.
 Bag = tuple[np.ndarray, np.ndarray]
 
@@ -102,19 +104,33 @@ class Sample:
 
     def scaled(self) -> np.ndarray:
         """Bring features to a common scale, values of the texts that have one to a root mean square of 1; gives the factors."""
-        have = np.bincount(self.col, minlength=self.dim)
-        square = np.bincount(self.col, weights=self.val * self.val, minlength=self.dim)
+        have, square, total = (np.zeros(self.dim) for _ in range(3))
+        for p in self._parts():
+            have += np.bincount(self.col[p], minlength=self.dim)
+            square += np.bincount(self.col[p], weights=self.val[p] * self.val[p], minlength=self.dim)
         scale = np.sqrt(have / np.maximum(square, 1e-18))
-        self.val *= scale[self.col].astype(np.float32)
-        self.mean = np.bincount(self.col, weights=self.val, minlength=self.dim) / max(1, self.n)
+        for p in self._parts():
+            self.val[p] *= scale[self.col[p]].astype(np.float32)
+            total += np.bincount(self.col[p], weights=self.val[p], minlength=self.dim)
+        self.mean = total / max(1, self.n)
         return scale
 
+    def _parts(self) -> Iterator[slice]:
+        """Runs of items: sums over all at once would need several more arrays of their size."""
+        return (slice(k, k + ITEMS) for k in range(0, len(self.val), ITEMS))
+
     def times(self, weights: np.ndarray) -> np.ndarray:
         """Products with the features less their means: without the means the fit converges far sooner."""
-        return np.bincount(self.row, weights=self.val * weights[self.col], minlength=self.n) - self.mean @ weights
+        out = np.zeros(self.n)
+        for p in self._parts():
+            out += np.bincount(self.row[p], weights=self.val[p] * weights[self.col[p]], minlength=self.n)
+        return out - self.mean @ weights
 
     def times_transposed(self, residual: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, weights=self.val * residual[self.row], minlength=self.dim) - self.mean * residual.sum()
+        out = np.zeros(self.dim)
+        for p in self._parts():
+            out += np.bincount(self.col[p], weights=self.val[p] * residual[self.row[p]], minlength=self.dim)
+        return out - self.mean * residual.sum()
 
 
 def bags(texts: pa.Array) -> Iterator[Bag]:
@@ -175,13 +191,14 @@ def sparse(found: list[Bag | str]) -> Sample:
     keep[WORD_DIM:] = texts_with[WORD_DIM:] > 0
     used = np.flatnonzero(keep)
     number = np.cumsum(keep, dtype=np.int32) - 1
-    rows, cols, vals = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    size = sum(int(keep[col].sum()) for col, _ in held)
+    rows, cols, vals = np.empty(size, np.int32), np.empty(size, np.int32), np.empty(size, np.float32)
+    end = 0
     for row, (col, val) in enumerate(held):
         at = keep[col]
-        rows.append(np.full(int(at.sum()), row, np.int32))
-        cols.append(number[col[at]])
-        vals.append(val[at])
-    return Sample(np.concatenate(rows), np.concatenate(cols), np.concatenate(vals), len(held), used)
+        own = slice(end, end := end + int(at.sum()))
+        rows[own], cols[own], vals[own] = row, number[col[at]], val[at]
+    return Sample(rows, cols, vals, len(held), used)
 
 
 def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 80, memory: int = 8) -> np.ndarray:
