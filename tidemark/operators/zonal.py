@@ -131,36 +131,29 @@ def line_length(coords: str | Column) -> Column:
     return F.when(F.size(c) >= 2, F.aggregate(steps, F.lit(0.0), lambda acc, d: acc + d)).otherwise(0.0)
 
 
-def points_along(lines: DataFrame, fractions: Column, *keep: str) -> DataFrame:
-    """i, px and py of the points of lines at the given fractions of their length."""
-    measured = lines.withColumn("_len", line_length("coords"))
-    numbered = measured.select(*keep, "coords", "_len", F.posexplode(fractions).alias("i", "_f")).withColumn("_at", F.col("_f") * F.col("_len"))
-    # Walk the vertices to the segment that holds the point; its remainder is interpolated.
-    start = F.struct(F.lit(0.0).alias("done"), F.get("coords", F.lit(0)).alias("last"), F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("py"))
-
-    def step(acc: Column, v: Column) -> Column:
-        d = F.hypot(v["x"] - acc["last"]["x"], v["y"] - acc["last"]["y"])
-        here = acc["px"].isNull() & (acc["done"] + d >= F.col("_at")) & (d > 0)
-        t = F.greatest(F.least(F.try_divide(F.col("_at") - acc["done"], d), F.lit(1.0)), F.lit(0.0))
-        return F.struct(
-            (acc["done"] + d).alias("done"),
-            v.alias("last"),
-            F.when(here, acc["last"]["x"] + t * (v["x"] - acc["last"]["x"])).otherwise(acc["px"]).alias("px"),
-            F.when(here, acc["last"]["y"] + t * (v["y"] - acc["last"]["y"])).otherwise(acc["py"]).alias("py"),
-        )
-
-    walked = numbered.withColumn("_w", F.aggregate(F.slice("coords", 2, F.greatest(F.size("coords") - 1, F.lit(1))), start, step))
-    end = F.element_at("coords", -1)
-    return walked.select(*keep, "_len", "i", F.coalesce("_w.px", end["x"]).alias("px"), F.coalesce("_w.py", end["y"]).alias("py"))
+def points_along(lines: DataFrame, n: Column, *keep: str) -> DataFrame:
+    """i, px and py of the n + 1 points at equal steps along lines that have a length; ``keep`` are the lines' keys.
+
+    Every segment makes the points that lie on it: a point where two meet belongs to the first of them.
+    """
+    before = Window.partitionBy(*keep).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    measured = lines.withColumn("_len", line_length("coords")).where("_len > 0").withColumn("_n", n)
+    legs = segments(measured, *keep, "_len", "_n").where("length > 0").withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0.0)))
+    step = F.col("_len") / F.col("_n")
+    end = F.col("start") + F.col("length")
+    # A step more on either side, so that no rounding leaves a point out; the comparison decides.
+    numbers = F.sequence(F.greatest(F.floor(F.col("start") / step) - 1, F.lit(0)), F.least(F.ceil(end / step) + 1, F.col("_n")))
+    made = legs.select("*", F.explode(numbers).alias("i")).withColumn("_at", F.col("i") / F.col("_n") * F.col("_len"))
+    here = made.where((F.col("_at") <= end) & ((F.col("_at") > F.col("start")) | (F.col("start") == 0)))
+    t = F.greatest(F.least((F.col("_at") - F.col("start")) / F.col("length"), F.lit(1.0)), F.lit(0.0))
+    on = lambda c: (F.col(f"a.{c}") + t * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(f"p{c}")
+    return here.select(*keep, "_len", F.col("i").cast("int").alias("i"), on("x"), on("y"))
 
 
 def road_samples(roads: DataFrame, step_m: float = STEP_M) -> DataFrame:
     """Samples every ``step_m`` of roads (id, part, coords); n + 1 of them, each standing for length / (n + 1)."""
-    n = F.greatest(F.floor(line_length("coords") / step_m), F.lit(1)).cast("int")
-    fractions = F.transform(F.sequence(F.lit(0), n), lambda i: i / n)
-    made = points_along(roads.where(line_length("coords") > 0), fractions, "id", "part")
-    count = F.greatest(F.floor(F.col("_len") / step_m), F.lit(1)) + 1
-    return made.select("id", "part", "i", "px", "py", (F.col("_len") / count).alias("share_m"))
+    n = F.greatest(F.floor(F.col("_len") / step_m), F.lit(1))
+    return points_along(roads, n, "id", "part").select("id", "part", "i", "px", "py", (F.col("_len") / (n + 1)).alias("share_m"))
 
 
 def runs_of_hits(samples: DataFrame) -> DataFrame:
@@ -187,8 +180,8 @@ def stretches(samples: DataFrame, cut_m: float = CUT_M) -> DataFrame:
 
 def bridge_status(bridges: DataFrame, near: DataFrame, grid: GridSpec) -> DataFrame:
     """id and status of bridges (id, coords): nine samples of a line, or the point; at risk if any is near."""
-    lines = points_along(bridges.where(F.size("coords") > 1), F.array(*[F.lit(k / 8) for k in range(9)]), "id").select("id", "px", "py")
-    points = bridges.where(F.size("coords") == 1).select("id", F.col("coords")[0]["x"].alias("px"), F.col("coords")[0]["y"].alias("py"))
+    lines = points_along(bridges, F.lit(8).cast("long"), "id").select("id", "px", "py")
+    points = bridges.where((F.size("coords") > 0) & (line_length("coords") == 0)).select("id", F.col("coords")[0]["x"].alias("px"), F.col("coords")[0]["y"].alias("py"))
     met = sample(lines.union(points), near, grid, "px", "py", "hit").groupBy("id").agg(F.bool_or("hit").alias("hit"))
     return bridges.select("id").join(met, "id", "left").select("id", F.when(F.coalesce("hit", F.lit(False)), "at risk").otherwise(OUTSIDE).alias("status"))
 
