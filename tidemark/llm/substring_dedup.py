@@ -122,11 +122,12 @@ def spans(docs: DataFrame, size: int = SPAN) -> DataFrame:
 def covered(docs: DataFrame, size: int = SPAN) -> DataFrame:
     """doc, version and places: where non-first occurrences of repeated runs begin, for the documents that have any."""
     found = spans(docs, size)
-    # The first shuffle holds hashes only; places follow for the repeated ones.
-    repeated = found.groupBy("span").agg(F.count("*").alias("times")).where("times > 1").select("span")
-    met = materialise(found.join(repeated, "span"), "spans")
-    first = met.groupBy("span").agg(F.min(F.struct("doc", "version", "place")).alias("first"))
-    later = met.join(first, "span").where(~F.struct("doc", "version", "place").eqNullSafe(F.col("first")))
+    # The first shuffle holds hashes only; places follow for the repeated ones. Both lists of spans are written before
+    # they are joined: only a join of two plain shuffles has its hot keys split at run time.
+    repeated = materialise(found.groupBy("span").agg(F.count("*").alias("times")).where("times > 1").select("span"), "repeated")
+    met = materialise(found.join(repeated.hint("merge"), "span"), "spans", repeated)
+    first = materialise(met.groupBy("span").agg(F.min(F.struct("doc", "version", "place")).alias("first")), "firsts")
+    later = met.join(first.hint("merge"), "span").where(~F.struct("doc", "version", "place").eqNullSafe(F.col("first")))
     # A document's places are no more than its sentences; rows that repeat a document bring the same ones.
     return later.groupBy("doc", "version").agg(F.collect_set("place").alias("places"))
 
