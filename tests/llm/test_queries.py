@@ -24,11 +24,11 @@ def table(spark, name: str, folder: str = SF):
 
 
 def one_score(hashed: labelled.Hashed, text: str) -> float:
-    """The bias and the plain means of one text's weights."""
+    """The bias and the plain sums of one text's weights, over the root of their number."""
     data = np.frombuffer(text.encode(), np.uint8)
     (words, _), (chars, _) = labelled.features(data, np.array([0, len(data)]))
-    mean = lambda weights, at: sum(float(weights[i]) for i in at) / (len(at) + labelled.PRIOR_ITEMS)
-    return hashed.bias + mean(hashed.words, words) + mean(hashed.chars, chars)
+    part = lambda weights, at: sum(float(weights[i]) for i in at) / (len(at) + labelled.PRIOR_ITEMS) ** 0.5
+    return hashed.bias + part(hashed.words, words) + part(hashed.chars, chars)
 
 
 def brute_rules(model: quality_rules.QualityModel, text: str) -> tuple:

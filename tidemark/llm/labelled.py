@@ -1,7 +1,7 @@
 """Bounded labelled samples and hashed-text features that the two quality models share.
 
-Features of a text are hashed words and word pairs and hashed character trigrams, each averaged over
-the text, so that a score is a mean of weights and needs no sparse vectors.
+Features of a text are hashed words and word pairs and hashed character trigrams, each counted over the
+square root of the text's length, so that a score is a scaled sum of weights and needs no sparse vectors.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tidemark.llm.textvec import Words, byte_codes, chunks, owners, seeded, spli
 
 #: Hashed features of each of the two kinds.
 WORD_DIM, CHAR_DIM = 1 << 18, 1 << 14
-#: Items of weight 0 that a mean of weights is smoothed with.
+#: Items of weight 0 that a text is thought to have besides its own.
 PRIOR_ITEMS = 40
 #: Labelled documents that a model is fitted on at most; those with the lowest hash of their doc_id.
 SAMPLE_ROWS = 5000
@@ -27,7 +27,7 @@ SAMPLE_ROWS = 5000
 LEAST_TEXTS = 10
 #: Items of the sample that one sum takes at a time.
 ITEMS = 1 << 19
-#: A text's features: their numbers, ascending, and their means. However long the text, it has ``WORD_DIM + CHAR_DIM`` at most.
+#: A text's features: their numbers, ascending, and their values. However long the text, it has ``WORD_DIM + CHAR_DIM`` at most.
 Bag = tuple[np.ndarray, np.ndarray]
 
 
@@ -59,15 +59,20 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, np.nd
     return (both, 2 * words.off), (chars[keep].astype(np.int32), np.append(0, np.cumsum(size)))
 
 
-def mean_by(values: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Means of each text's values, drawn to 0 as if it had ``PRIOR_ITEMS`` more of 0: a few words say little."""
-    total = np.bincount(owners(off), weights=values, minlength=len(off) - 1)
-    return total / (np.diff(off) + PRIOR_ITEMS)
+def root_length(off: np.ndarray) -> np.ndarray:
+    """What a text's counts are divided by. Chance sums of n weights grow with the root of n, so that a few telling
+    words stand out in a long text as well, and a few words alone say little.
+    """
+    return np.sqrt(np.diff(off) + PRIOR_ITEMS)
+
+
+def scaled_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.bincount(owners(off), weights=values, minlength=len(off) - 1) / root_length(off)
 
 
 @dataclass
 class Hashed:
-    """Weights of the hashed features; ``score`` is the sum of their means over a text."""
+    """Weights of the hashed features; ``score`` is the sum of their scaled sums over a text."""
 
     words: np.ndarray
     chars: np.ndarray
@@ -75,7 +80,7 @@ class Hashed:
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         (w, w_off), (c, c_off) = features(data, off)
-        return self.bias + mean_by(self.words[w], w_off) + mean_by(self.chars[c], c_off)
+        return self.bias + scaled_sums(self.words[w], w_off) + scaled_sums(self.chars[c], c_off)
 
     def score_column(self, column: pa.Array) -> np.ndarray:
         return np.concatenate([np.zeros(0), *(self.score(data, off) for _, _, data, off in chunks(column))])
@@ -141,7 +146,7 @@ def bags(texts: pa.Array) -> Iterator[Bag]:
         for (index, at), shift in zip(features(data, off), (0, WORD_DIM), strict=True):
             key, count = np.unique(owners(at) * dim + index + shift, return_counts=True)
             row = key // dim
-            values = (count / (np.diff(at) + PRIOR_ITEMS)[row]).astype(np.float32)
+            values = (count / root_length(at)[row]).astype(np.float32)
             parts.append(((key % dim).astype(np.int32), values, np.searchsorted(row, np.arange(end - first + 1))))
         for i in range(end - first):
             own = [slice(at[i], at[i + 1]) for _, _, at in parts]
@@ -180,7 +185,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def sparse(found: list[Bag | str]) -> Sample:
-    """The sample's feature means; word features of too few texts are left out. Plain texts are counted here."""
+    """The sample's features; word features of too few texts are left out. Plain texts are counted here."""
     texts = [x for x in found if isinstance(x, str)]
     counted = bags(pa.array(texts, pa.string()))
     held = [next(counted) if isinstance(x, str) else x for x in found]
