@@ -34,3 +34,18 @@ def test_directions_are_not_broadcast(spark):
     flow = hydro.flow_direction(slope(spark), "dem")
     assert "SortMergeJoin" in plan(flow) and "Broadcast" not in plan(flow)
     assert {r["code"] for r in flow.where("y > 0 and x = 0").collect()} == {64}
+
+
+def flow_of(spark):
+    """Directions of ``slope``, written as the queries write them."""
+    return materialise(hydro.flow_direction(slope(spark), "dem"), "flow")
+
+
+def no_broadcast(plans, *more):
+    assert plans and not [p for p in [*plans, *[plan(df) for df in more]] if "Broadcast" in p]
+
+
+def test_accumulation_is_not_broadcast(spark, plans):
+    found = hydro.accumulation(flow_of(spark))
+    no_broadcast(plans, found)
+    assert {r["acc"] for r in found.where(f"cell < {1 << 32}").collect()} == {10, 20, 30, 40, 50, 60}
