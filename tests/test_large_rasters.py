@@ -49,3 +49,14 @@ def test_accumulation_is_not_broadcast(spark, plans):
     found = hydro.accumulation(flow_of(spark))
     no_broadcast(plans, found)
     assert {r["acc"] for r in found.where(f"cell < {1 << 32}").collect()} == {10, 20, 30, 40, 50, 60}
+
+
+def cells(pixels):
+    return pixels.selectExpr(f"cast(y as bigint) * {1 << 32} + x cell", "*")
+
+
+def test_heights_are_not_broadcast(spark, plans):
+    heights = cells(slope(spark))
+    found = hydro.height_above_drainage(flow_of(spark), heights.where("y = 0").select("cell"), heights.select("cell", "dem"))
+    no_broadcast(plans, found)
+    assert {r["hand"] for r in found.where(f"cell >= {9 << 32}").collect()} == {90.0}
