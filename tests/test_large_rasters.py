@@ -60,3 +60,9 @@ def test_heights_are_not_broadcast(spark, plans):
     found = hydro.height_above_drainage(flow_of(spark), heights.where("y = 0").select("cell"), heights.select("cell", "dem"))
     no_broadcast(plans, found)
     assert {r["hand"] for r in found.where(f"cell >= {9 << 32}").collect()} == {90.0}
+
+
+def test_terrain_is_not_broadcast(spark, plans):
+    found = hydro.terrain(slope(spark).selectExpr("x", "y", "dem", "x = 3 minor", "x = 3 major"), 4, 30)
+    no_broadcast(plans, found)
+    assert {r["hand"] for r in found.where("x = 3").collect()} == {0.0}
