@@ -66,3 +66,10 @@ def test_terrain_is_not_broadcast(spark, plans):
     found = hydro.terrain(slope(spark).selectExpr("x", "y", "dem", "x = 3 minor", "x = 3 major"), 4, 30)
     no_broadcast(plans, found)
     assert {r["hand"] for r in found.where("x = 3").collect()} == {0.0}
+
+
+def test_walk_is_not_broadcast(spark, plans):
+    starts = cells(slope(spark)).where("y = 9 and x = 2").selectExpr("x as id", "cell")
+    found = hydro.walk(flow_of(spark), starts, 1000)
+    no_broadcast(plans, found)
+    assert found.count() == 12
