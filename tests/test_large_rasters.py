@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
+from tidemark.functions.grid import GridSpec
 from tidemark.operators import hydro
+from tidemark.plans import analysis
 from tidemark.session import materialise
 
 
@@ -73,3 +75,12 @@ def test_walk_is_not_broadcast(spark, plans):
     found = hydro.walk(flow_of(spark), starts, 1000)
     no_broadcast(plans, found)
     assert found.count() == 12
+
+
+def test_trace_is_not_broadcast(spark, plans, monkeypatch):
+    monkeypatch.setattr(analysis, "materialise", hydro.materialise)
+    places = spark.createDataFrame([(1, "Upper", 25.0, 15.0)], "pid long, name string, px double, py double")
+    found = analysis.trace(slope(spark), (2, 9), places, GridSpec(0.0, 100.0, 6, 10, 10.0), near_m=20.0)["settlements"]
+    # The line's own legs are a path: they may be broadcast, a raster may not.
+    assert "Broadcast" not in "".join(plans) and "SortMergeJoin" in plan(found)
+    assert [r["name"] for r in found.collect()] == ["Upper"]

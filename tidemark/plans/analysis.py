@@ -17,7 +17,7 @@ from tidemark.functions import scalars as S
 from tidemark.functions.grid import GridSpec
 from tidemark.operators import evidence as E
 from tidemark.operators import focal, hydro, morphology, network, zonal
-from tidemark.session import materialise
+from tidemark.session import materialise, merged
 from tidemark.sources.files import write_bundle, write_text
 
 
@@ -132,7 +132,7 @@ def trace(pixels: DataFrame, start: tuple[int, int], places: DataFrame, grid: Gr
     path = hydro.walk(materialise(flow, "flow"), begin, int(most_km * 1000 / grid.res) + 1)
     x, y = F.col("cell") % (1 << 32), F.floor(F.col("cell") / (1 << 32))
     mx, my = grid.centre(x, y)
-    line = path.select("step", x.cast("int").alias("x"), y.cast("int").alias("y"), mx.alias("mx"), my.alias("my")).join(pixels.select("x", "y", "dem"), ["x", "y"])
+    line = path.select("step", x.cast("int").alias("x"), y.cast("int").alias("y"), mx.alias("mx"), my.alias("my")).join(merged(pixels.select("x", "y", "dem")), ["x", "y"])
     # A path of one window is a bounded sequence; its length is a running sum over it.
     w = Window.orderBy("step")
     leg = F.coalesce(F.hypot(F.col("mx") - F.lag("mx").over(w), F.col("my") - F.lag("my").over(w)), F.lit(0.0))
@@ -148,7 +148,7 @@ def trace(pixels: DataFrame, start: tuple[int, int], places: DataFrame, grid: Gr
     met = asked.join(legs, ["cx", "cy"]).select("pid", "name", "px", "py", away.alias("away"), (F.col("metres") + along).alias("s"), F.when(along > 0, F.col("next_dem")).otherwise(F.col("dem")).alias("river"))
     best = met.where(F.col("away") <= near_m).groupBy("pid", "name", "px", "py").agg(F.min(F.struct("away", "s", "river")).alias("b")).select("pid", "name", "px", "py", "b.*")
     ground = pixels.select(F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("dem").alias("ground"))
-    high = best.join(ground, (grid.column_of(F.col("px")) == F.col("gx")) & (grid.row_of(F.col("py")) == F.col("gy"))).withColumn("height", F.col("ground") - F.col("river"))
+    high = best.join(merged(ground), (grid.column_of(F.col("px")) == F.col("gx")) & (grid.row_of(F.col("py")) == F.col("gy"))).withColumn("height", F.col("ground") - F.col("river"))
     found = high.where(F.col("height") <= most_height).select(
         "name", F.bround(F.col("s") / 1000, 1).alias("km_downstream"), F.bround(F.greatest("height", F.lit(0.0)), 0).alias("height_above_river_m"),
         F.when(F.col("height") <= 20, "directly in the path").otherwise("possibly in the path").alias("exposure"),
