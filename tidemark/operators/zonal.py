@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.grid import GridSpec
+from tidemark.session import materialise, merged
 
 HIT, POSSIBLE, OUTSIDE = "hit", "possibly hit", "outside"
 #: Fixed values of the road rules.
@@ -192,18 +193,46 @@ def point_status(points: DataFrame, affected: DataFrame, near: DataFrame, grid:
     return met.withColumn("status", F.when(F.col("_hit"), HIT).when(F.col("_near"), POSSIBLE).otherwise(OUTSIDE)).drop("_hit", "_near")
 
 
+#: Targets that share a cell, on average, where the search for the nearest begins; cells double from there.
+CELL_TARGETS = 2.0
+#: Times that the cells may double.
+LEVELS = 12
+
+
+def first_cell(targets: DataFrame, most: float) -> int:
+    """How often ``most`` is halved for the cells to begin with: the least so that a target shares its cell with few others. One row comes back."""
+    sizes = F.explode(F.array(*[F.lit(k) for k in range(LEVELS)])).alias("k")
+    side = lambda c: F.floor(F.col(c) / (F.lit(float(most)) / F.pow(F.lit(2.0), F.col("k"))))
+    held = targets.select("px", "py", sizes).groupBy("k", side("px").alias("cx"), side("py").alias("cy")).agg(F.count("*").alias("n"))
+    load = held.groupBy("k").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("load"))
+    return load.agg(F.coalesce(F.min(F.when(F.col("load") <= 1 + CELL_TARGETS, F.col("k"))), F.lit(LEVELS - 1)).alias("k")).head()["k"]
+
+
 def nearest_point(queries: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     """qid and the nearest target (tid, distance) no further than ``most``; of equal distances the lowest tid.
 
-    Targets stand in square cells of that size, so a query meets those of nine cells by an equi-join.
+    Targets of one place are one. They stand in square cells and those around, so that a query meets them by its own cell;
+    what lies no further than a cell's side is the nearest. Queries without one go on with cells of twice that side, up to
+    ``most``: first cells hold a few targets, and those who need larger ones are few, or far from all of them.
     """
-    cell = lambda c, d: (F.floor(F.col(c) / most) + d).cast("long")
+    places = materialise(targets.where("px is not null and py is not null").groupBy("px", "py").agg(F.min("tid").alias("tid")), "targets")
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    asked = queries.select("qid", F.col("px").alias("qx"), F.col("py").alias("qy"), F.explode(around).alias("o"))
-    asked = asked.select("qid", "qx", "qy", (F.floor(F.col("qx") / most) + F.col("o.dx")).cast("long").alias("cx"), (F.floor(F.col("qy") / most) + F.col("o.dy")).cast("long").alias("cy"))
-    there = targets.select("tid", "px", "py", cell("px", 0).alias("cx"), cell("py", 0).alias("cy"))
-    met = asked.join(there, ["cx", "cy"]).withColumn("distance", F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy"))).where(F.col("distance") <= most)
-    return met.groupBy("qid").agg(F.min(F.struct("distance", "tid")).alias("best")).select("qid", "best.tid", "best.distance")
+    left, out = queries.select("qid", F.col("px").alias("qx"), F.col("py").alias("qy")), None
+    for k in range(first_cell(places, most), -1, -1):
+        side = float(most) / (1 << k)
+        cell = lambda c, side=side: F.floor(F.col(c) / side)
+        spread = places.select("tid", "px", "py", cell("px").alias("x"), cell("py").alias("y"), F.explode(around).alias("o"))
+        near = spread.groupBy((F.col("x") + F.col("o.dx")).alias("cx"), (F.col("y") + F.col("o.dy")).alias("cy")).agg(F.collect_list(F.struct("tid", "px", "py")).alias("near"))
+        met = left.withColumn("cx", cell("qx")).withColumn("cy", cell("qy")).join(merged(near), ["cx", "cy"], "left")
+        found = F.transform("near", lambda t: F.struct(F.hypot(t["px"] - F.col("qx"), t["py"] - F.col("qy")).alias("distance"), t["tid"].alias("tid")))
+        met = met.select("qid", "qx", "qy", F.array_min(found).alias("best"))
+        met = materialise(met.withColumn("best", F.when(F.col("best.distance") <= side, F.col("best"))), "nearest")
+        done = met.where("best is not null").select("qid", "best.tid", "best.distance")
+        out, left = done if out is None else out.union(done), met.where("best is null").select("qid", "qx", "qy")
+        if left.isEmpty():
+            break
+    # A qid may have stood at several places.
+    return out.groupBy("qid").agg(F.min(F.struct("distance", "tid")).alias("best")).select("qid", "best.tid", "best.distance")
 
 
 def near_lines(points: DataFrame, lines: DataFrame, most: float, cell: float = 50.0) -> DataFrame:
