@@ -7,7 +7,8 @@
 3. Candidates are verified by the exact weighted Jaccard similarity of their shingles. In a bucket of up to
    ``FIRST_HEADS`` + 1 texts all pairs are; in a larger one every text meets its ``FIRST_HEADS`` most central texts,
    and what is in another class than one of its further heads after that meets that one also. So a large group
-   of copies costs a bounded number of pairs for each of its texts.
+   of copies costs a bounded number of pairs for each of its texts, and is one class, or nearly. Where a bucket holds
+   several classes still, all pairs of them are held against each other, block by block: no link of a bucket is lost.
 4. Classes are the connected components of verified links; the class id is its lowest doc_id.
 
 Defined cases: null and empty texts, and texts without a word, are near duplicates of equal texts
@@ -40,6 +41,8 @@ RARITY = 4.0
 FIRST_HEADS, HEADS = 4, 16
 #: Parts of a bucket that its heads are chosen from first.
 HEAD_SALTS = 32
+#: Texts, and bytes of their shingles, of a block on average, and shingles that two blocks are compared by at once.
+BLOCK_TEXTS, BLOCK_BYTES, BLOCK_SHINGLES = 256, 1 << 22, 1 << 13
 
 
 def text_shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,6 +244,90 @@ def _pairs(of: DataFrame, heads: Column) -> DataFrame:
     return met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
 
 
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of each text of ``left`` with each of ``right``, in single precision.
+
+    ``bags``: (ascending hashes, counts). A shingle that a text holds n times counts as n shingles of one weight, so
+    that a sum of lesser weights is a product of matrices. A shingle of one text alone adds to no such sum.
+    """
+    hashes = np.concatenate([h for h, _ in bags])
+    counts = np.concatenate([c for _, c in bags]).astype(np.int64)
+    owner = np.repeat(np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags]), counts)
+    weight = np.repeat(idf[_bucket(hashes)], counts)
+    total = np.bincount(owner, weight, len(bags))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    names = np.repeat(hashes, counts) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    _, column, times = np.unique(names, return_inverse=True, return_counts=True)
+    column_of = np.cumsum(times > 1) - 1
+    some = np.flatnonzero(times[column] > 1)
+    some = some[np.argsort(column[some], kind="stable")]
+    column, owner, root = column_of[column[some]], owner[some], np.sqrt(weight[some])
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_SHINGLES):
+        own = slice(*np.searchsorted(column, [low, low + BLOCK_SHINGLES]))
+        matrix = np.zeros((len(bags), BLOCK_SHINGLES), np.float32)
+        matrix[owner[own], column[own] - low] = root[own]
+        shared += matrix[left] @ matrix[right].T
+    return shared / (total[left][:, None] + total[right][None, :] - shared)
+
+
+def rest(full: DataFrame, roots: DataFrame, shingles: DataFrame, idf) -> DataFrame:
+    """All links (a, b) between texts of one bucket that are in different classes still: the exact way for what heads leave.
+
+    A bucket's texts outside of its largest class are dealt into blocks, and all its texts are; each two blocks meet in
+    one task, which compares every pair of different classes.
+    """
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, root, minor = (group.column(c).to_pylist() for c in ("node", "root", "minor"))
+        bags = []
+        for found, many in zip(group.column("hashes").to_pylist(), group.column("counts").to_pylist(), strict=True):
+            hashes = np.frombuffer(found, "<u8")
+            bags.append((hashes, np.frombuffer(many, "<u4") if many else np.ones(len(hashes), np.uint32)))
+        left = np.flatnonzero(np.array(minor))
+        right = np.flatnonzero(~np.array(minor)) if len(left) else np.arange(len(node))
+        left = left if len(left) else right
+        _, number = np.unique(np.array(root, object), return_inverse=True)
+        # What rounding could hide is held against the limit again, exactly.
+        near = (overlaps(bags, left, right, idf.value) >= SIMILARITY - 1e-4) & (number[left][:, None] != number[right][None, :])
+        bag = lambda i: (bags[i][0], weights(*bags[i], idf.value))
+        found = {tuple(sorted((node[left[i]], node[right[j]]))) for i, j in zip(*np.nonzero(near), strict=True) if similarity(bag(left[i]), bag(right[j])) >= SIMILARITY}
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    bytes_of = shingles.select("node", F.length("hashes").alias("bytes"))
+    own = full.where(F.col("size") > FIRST_HEADS + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(bytes_of, "node")
+    own = materialise(own.select("node", "band", "bucket", "root", "bytes"), "own")
+    each = own.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    most = F.max(F.struct("n", "root", "bytes"))
+    mixed = each.groupBy("band", "bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("classes"), most.alias("most")).where("classes > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_BYTES, F.lit(1.0))).cast("int")
+    n, size = F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")
+    mixed = materialise(mixed.select("band", "bucket", F.col("most.root").alias("largest"), blocks(F.col("n"), F.col("bytes")).alias("all"), blocks(n, size).alias("minors")), "mixed")
+    dealt = materialise(own.drop("bytes").join(mixed, ["band", "bucket"]), "dealt")
+    at = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    others = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    keep = ["node", "root", "band", "bucket"]
+    whole = dealt.select(*keep, at("all").alias("i"), others("minors").alias("j"), F.lit(False).alias("minor"))
+    # A bucket of one block meets itself.
+    minors = dealt.where("root <> largest and `all` > 1").select(*keep, others("all").alias("i"), at("minors").alias("j"), F.lit(True).alias("minor"))
+    met = whole.union(minors).join(shingles, "node")
+    return materialise(met.groupBy("band", "bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct(), "links")
+
+
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links."""
+    if more.isEmpty():
+        return roots
+    # Classes are the nodes now: their own links are few.
+    ends = [more.select(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
+    named = ends[0].join(roots, "node", "left").select(F.coalesce("root", "node").alias("a"), F.col("other").alias("node"))
+    joined = components(named.join(roots, "node", "left").select("a", F.coalesce("root", "node").alias("b")))
+    every = roots.select("node", "root").union(ends[0].select("node", F.col("node").alias("root")).union(ends[1].select("node", F.col("node").alias("root"))))
+    every = every.groupBy("node").agg(F.min("root").alias("root"))
+    step = joined.select(F.col("node").alias("root"), F.col("root").alias("far"))
+    return materialise(every.join(step, "root", "left").select("node", F.coalesce("far", "root").alias("root")), "roots")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """A row for each distinct (doc_id, text): doc_id, key of the text, class_id, class_key and representative.
 
@@ -285,15 +372,8 @@ def classes(docs: DataFrame) -> DataFrame:
     open_ = full.where(F.col("size") > FIRST_HEADS).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(listed, ["band", "bucket"])
     apart = F.transform(F.filter("heads", lambda h: h["root"] != F.col("root")), lambda h: h["head"])
     more = materialise(verified(_pairs(open_, apart), shingles, idf), "links")
-    if not more.isEmpty():
-        # Classes are the nodes now: their own links are few.
-        ends = [more.select(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
-        named = ends[0].join(roots, "node", "left").select(F.coalesce("root", "node").alias("a"), F.col("other").alias("node"))
-        joined = components(named.join(roots, "node", "left").select("a", F.coalesce("root", "node").alias("b")))
-        every = roots.select("node", "root").union(ends[0].select("node", F.col("node").alias("root")).union(ends[1].select("node", F.col("node").alias("root"))))
-        every = every.groupBy("node").agg(F.min("root").alias("root"))
-        step = joined.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        roots = every.join(step, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    roots = _merged(roots, more)
+    roots = _merged(roots, rest(full, roots, shingles, idf))
     # Written before the join: both its sides are shuffled for it alone then, and a text of very many copies can be split.
     classed = materialise(texts.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "classed")
     return members.select("doc_id", "key").join(classed, "key").select(
