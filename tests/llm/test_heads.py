@@ -38,3 +38,9 @@ def test_overlaps_are_similarities():
         for j in every[every != i]:
             want = neardup.similarity(*[(bags[k][0], neardup.weights(*bags[k], idf)) for k in (i, j)])
             assert abs(got[i, j] - want) < 1e-5
+
+
+def test_one_of_a_class_stays_without_heads(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_heads", lambda full: full.selectExpr("band", "bucket", "1 as place", "node as head").where("false"))
+    df = spark.createDataFrame(groups(3, 8), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == [0, 8, 16]
