@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.zonal import segments
-from tidemark.session import materialise
+from tidemark.session import materialise, merged
 
 #: km/h by road class, path classes, walking speed, snapping distance and detour rules.
 SPEED_KMH = {
@@ -74,13 +74,16 @@ def block_times(nodes: list, starts: list[float], ends: list, tos: list, minutes
     return best
 
 
-def shortest_times(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] = (), block: Callable[[Column], Column] | None = None) -> DataFrame:
+def shortest_times(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] = (), block: Callable[[Column], Column] | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """Keys, node and the least minutes from any source, for every node that one reaches.
 
     Rounds go on until no time falls. A round spreads only nodes whose time fell in the one before: over their
     edges, or, with ``block`` (the block of a node, a bounded part of the graph), through the whole block in one
     task, so that a round crosses a block and not an edge. With ``keys`` (say scenario and target) all graphs run
     in one job. Edges are undirected: u, v, minutes.
+
+    With ``wanted`` (keys and nodes) only those nodes' times are sure to be there: once all of a graph's have one, what
+    is as far as the furthest of them isn't spread, as no time of theirs could fall by it.
     """
     on = [*keys, "node"]
     plain = edges.select(*keys, "u", "v", "minutes")
@@ -89,6 +92,7 @@ def shortest_times(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] =
     )
     both = materialise(both.withColumn("block", block(F.col("node"))) if block else both, "edges")
     known = materialise(sources.select(*on).distinct().withColumn("time", F.lit(0.0)).withColumn("fresh", F.lit(True)), "times")
+    asked = None if wanted is None else materialise(wanted.select(*on).where("node is not null").distinct(), "wanted")
     at = [*keys, "block"]
     kinds = dict(known.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in on) + ", offer double, outside boolean"
@@ -109,11 +113,17 @@ def shortest_times(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] =
             offers = known.where("fresh").join(both, on).select(*keys, F.col("to").alias("node"), (F.col("time") + F.col("minutes")).alias("offer"), F.lit(True).alias("outside"))
         # What was found inside a block is spread there already, unless another block offers less.
         least = offers.groupBy(*on).agg(F.min("offer").alias("offer"), F.min(F.when(F.col("outside"), F.col("offer"))).alias("outer"), F.min(F.when(~F.col("outside"), F.col("offer"))).alias("inner"))
-        met = known.join(least, on, "full_outer")
+        met = known.join(merged(least), on, "full_outer")
         infinite = F.lit(float("inf"))
         time = F.least(F.coalesce("time", infinite), F.coalesce("offer", infinite))
         fresh = F.coalesce((F.col("outer") < F.coalesce("time", infinite)) & (F.col("outer") < F.coalesce("inner", infinite)), F.lit(False))
         known = materialise(met.select(*on, time.alias("time"), fresh.alias("fresh")), "times", known)
+        if asked is not None:
+            # One row a graph.
+            bound = asked.join(merged(known.select(*on, "time")), on, "left").groupBy(*keys).agg(F.max(F.coalesce("time", infinite)).alias("bound"))
+            near = known.join(F.broadcast(bound), list(keys), "left") if keys else known.crossJoin(bound)
+            near = near.select(*on, "time", (F.col("fresh") & (F.col("time") < F.coalesce("bound", F.lit(-1.0)))).alias("fresh"))
+            known = materialise(near, "times", known)
         if known.where("fresh").isEmpty():
             return known.select(*on, "time")
 
@@ -122,7 +132,7 @@ def cut_roads(roads: DataFrame, road_status: DataFrame, bridge_status: DataFrame
     """``roads`` (road, osm_id, bridge) with flags cut and maybe: by the status of their own id, or as a bridge at risk; maybe only if not cut."""
     flags = road_status.groupBy("osm_id").agg(F.bool_or(F.col("status") == "cut").alias("is_cut"), F.bool_or(F.col("status").isin("touched", "near")).alias("is_maybe"))
     risky = bridge_status.where(F.col("status") == "at risk").select("osm_id", F.lit(True).alias("is_risky")).distinct()
-    met = roads.join(flags, "osm_id", "left").join(risky, "osm_id", "left")
+    met = roads.join(merged(flags), "osm_id", "left").join(merged(risky), "osm_id", "left")
     bridge = F.col("bridge").isNotNull() & (F.col("bridge") != "no")
     cut = F.coalesce("is_cut", F.lit(False)) | (bridge & F.coalesce("is_risky", F.lit(False)))
     return met.withColumn("cut", cut).withColumn("maybe", ~cut & F.coalesce("is_maybe", F.lit(False))).drop("is_cut", "is_maybe", "is_risky")
@@ -156,20 +166,22 @@ def access(edges: DataFrame, foot_edges: DataFrame, roads: DataFrame, targets: D
     keys of one shortest-path job.
     """
     flags = roads.select("road", "cut", "maybe")
-    cars = edges.join(flags, "road", "left").withColumn("cut", F.coalesce("cut", F.lit(False))).withColumn("maybe", F.coalesce("maybe", F.lit(False)))
-    walk = foot_edges.join(flags, "road", "left").where(~F.coalesce("cut", F.lit(False)))
+    cars = edges.join(merged(flags), "road", "left").withColumn("cut", F.coalesce("cut", F.lit(False))).withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+    walk = foot_edges.join(merged(flags), "road", "left").where(~F.coalesce("cut", F.lit(False)))
     pick = lambda df, name: df.select(F.lit(name).alias("scenario"), "u", "v", "minutes")
     graphs = pick(cars, "before").union(pick(cars.where("not cut"), "after")).union(pick(cars.where("not cut and not maybe"), "worst")).union(pick(walk, "foot"))
     kinds = F.explode(F.array(F.lit("hospital"), F.lit("town"))).alias("target")
     graphs = graphs.select("*", kinds)
     names = F.explode(F.array(*[F.lit(s) for s in ("before", "after", "worst", "foot")])).alias("scenario")
     sources = targets.select("target", "node", "foot_node", names).select("scenario", "target", F.when(F.col("scenario") == "foot", F.col("foot_node")).otherwise(F.col("node")).alias("node"))
-    times = shortest_times(graphs, sources.where("node is not null"), ("scenario", "target"), block_of)
+    places = settlements.select("node", "foot_node", names).select("*", kinds).where("scenario <> 'foot' or target = 'hospital'")
+    wanted = places.select("scenario", "target", F.when(F.col("scenario") == "foot", F.col("foot_node")).otherwise(F.col("node")).alias("node"))
+    times = shortest_times(graphs, sources.where("node is not null"), ("scenario", "target"), block_of, wanted)
     wide = times.where("scenario <> 'foot'").groupBy("node").agg(
         *[F.max(F.when((F.col("scenario") == s) & (F.col("target") == t), F.col("time"))).alias(f"{t}_{s}") for s in ("before", "after", "worst") for t in ("hospital", "town")]
     )
     feet = times.where("scenario = 'foot' and target = 'hospital'").select(F.col("node").alias("foot_node"), F.col("time").alias("on_foot"))
-    met = settlements.join(wide, "node", "left").join(feet, "foot_node", "left")
+    met = settlements.join(merged(wide), "node", "left").join(merged(feet), "foot_node", "left")
     c = F.col
     status = access_status(c("hospital_before"), c("hospital_after"), c("town_before"), c("town_after"), c("hospital_worst"), c("town_worst"), c("node").isNotNull())
     whole = lambda name: F.bround(name).cast("long")

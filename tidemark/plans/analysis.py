@@ -113,7 +113,7 @@ def access(roads: DataFrame, road_status: DataFrame, bridge_status: DataFrame, t
         asked = points.select(F.col(key).alias("qid"), "px", "py")
         on_road = zonal.nearest_point(asked, nodes(cars), network.SNAP_M).select(F.col("qid").alias(key), F.col("tid").alias("node"))
         on_foot = zonal.nearest_point(asked, nodes(walk), network.SNAP_M).select(F.col("qid").alias(key), F.col("tid").alias("foot_node"))
-        return points.join(on_road, key, "left").join(on_foot, key, "left")
+        return points.join(merged(on_road), key, "left").join(merged(on_foot), key, "left")
 
     to = snapped(targets, "tid").select("target", "node", "foot_node")
     settled = materialise(network.access(cars, walk, flagged, to, snapped(settlements, "sid").select("sid", "node", "foot_node")), "settlements")
