@@ -44,3 +44,24 @@ def test_one_of_a_class_stays_without_heads(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_heads", lambda full: full.selectExpr("band", "bucket", "1 as place", "node as head").where("false"))
     df = spark.createDataFrame(groups(3, 8), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == [0, 8, 16]
+
+
+def test_all_links_of_a_crowded_bucket_in_many_blocks(spark, monkeypatch):
+    """One bucket of several classes: each pair of different classes is compared, whichever blocks its texts are dealt to."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 5)
+    docs = groups(5, 12)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    idf = neardup.idf_table(df)
+    named = df.selectExpr("encode(lpad(doc_id, 3, '0'), 'utf-8') as node", "text")
+    full = named.selectExpr("node", "0 as band", "7L as bucket", f"{len(docs)}L as size")
+    # The first group is a class already, as is part of the second.
+    class_of = lambda i: 0 if i < 12 else 12 if i < 17 else i
+    roots = spark.createDataFrame([(b"%03d" % i, b"%03d" % class_of(i)) for i in range(17)], "node binary, root binary")
+    found = neardup.rest(full, roots, neardup.bags(named), spark.sparkContext.broadcast(idf)).collect()
+    bags = []
+    for _, text in docs:
+        data = np.frombuffer(text.encode(), np.uint8)
+        hashes, counts, _ = neardup.text_shingles(data, np.array([0, len(data)]))
+        bags.append((hashes, neardup.weights(hashes, counts, idf)))
+    links = {(i, j) for j in range(len(docs)) for i in range(j) if class_of(i) != class_of(j) and neardup.similarity(bags[i], bags[j]) >= neardup.SIMILARITY}
+    assert len(links) > 100 and sorted((int(r["a"]), int(r["b"])) for r in found) == sorted(links)

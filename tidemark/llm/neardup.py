@@ -228,6 +228,7 @@ def _heads(full: DataFrame) -> DataFrame:
     """The ``HEADS`` most central texts of every bucket of ``full`` (node, band, bucket, size): band, bucket, place, head.
 
     Central is a text whose buckets hold the most texts: in a group of copies, those that most others are near to.
+    They only spare pairs inside a class: a bucket that they leave in several classes is compared whole by ``rest``.
     """
     central = full.groupBy("node").agg(F.sum("size").alias("weight"))
     order = [F.desc("weight"), F.xxhash64("node"), F.col("node")]
